@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import read
+from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.simhash import near_duplicates
 
 
@@ -19,5 +20,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from three of four parts of the labelled ones."""
+    docs = read(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), labelled_sample(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "__lang.lang_pred", "__lang.score")
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
