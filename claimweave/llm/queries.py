@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.llm.bpe import decode, encode
 from claimweave.llm.common import read
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.simhash import near_duplicates
@@ -27,5 +30,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "__lang.lang_pred", "__lang.score")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op10_language_id": op10_language_id}
+def vocabulary() -> str:
+    """Place of the tokenizer file, from the environment or the package of public tokenizers."""
+    if found := os.environ.get("WORD_BPE_FILE"):
+        return found
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and what they decode to, as counts and digests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decode(encode(docs, vocabulary()), vocabulary())
+    return found.select(
+        "doc_id",
+        F.size("__ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("__ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("__decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
