@@ -9,25 +9,27 @@ from claimweave.llm.common import cut, small
 
 
 def split_blocks(members: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hot members) of ``members`` (block, fp; distinct rows).
+    """(pairs, hot members) of ``members`` (block, node, fp), where a node is at most once in a block.
 
-    Blocks of one are dropped by a pre-aggregated count. Blocks of two are their least and greatest
-    member. Blocks of up to ``hot`` give all their pairs (a < b), so a member has under ``hot``
-    partners in a block. Larger ones come back as (block, fp, n) for a way that is linear in them.
+    Pairs are (a, b, x): two nodes, a < b, and the bits in which their fingerprints differ. Blocks of
+    one are dropped by a pre-aggregated count. A block of two needs only its extremes. Blocks of up to
+    ``hot`` give all their pairs, so a node has under ``hot`` partners there. Larger ones come back as
+    (block, node, fp, n) for a way that does not pair everything.
     """
     stats = cut(
         members.groupBy("block")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        .agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("fp").alias("f"), F.max("fp").alias("g"))
         .where("n > 1")
     )
-    two = stats.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    two = stats.where("n = 2").selectExpr("a", "b", "f ^ g AS x")
     some = members.join(small(stats.where(f"n > 2 AND n <= {hot}").select("block")), "block")
     more = (
         some.groupBy("block")
-        .agg(F.collect_list("fp").alias("all"))
-        .select("all", F.explode("all").alias("a"))
-        .select("a", F.explode("all").alias("b"))
-        .where("a < b")
+        .agg(F.collect_list(F.struct("node", "fp")).alias("all"))
+        .select("all", F.explode("all").alias("p"))
+        .select("p", F.explode("all").alias("q"))
+        .where("p.node < q.node")
+        .selectExpr("p.node AS a", "q.node AS b", "p.fp ^ q.fp AS x")
     )
     large = members.join(small(stats.where(f"n > {hot}").select("block", "n")), "block")
     return two.unionByName(more), large

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.bpe import decode, encode
 from claimweave.llm.common import read
 from claimweave.llm.langid import held_out, identify, labelled_sample
+from claimweave.llm.lines import dedup_lines
 from claimweave.llm.simhash import near_duplicates
 
 
@@ -23,6 +24,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that go as fuzzy repeats, and a digest of the text that stays."""
+    found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("__dropped").alias("dropped_lines"),
+        F.length("text").cast("long").alias("n_chars_kept"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from three of four parts of the labelled ones."""
     docs = read(spark, sf_dir, "documents")
@@ -51,5 +63,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op10_language_id": op10_language_id}
+QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}

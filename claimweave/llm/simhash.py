@@ -89,14 +89,14 @@ def near_links(fps: DataFrame, max_diff: int = 2, segments: int = 5, hot: int =
     lead = sum(1 for b in budgets if b == 0)
     chains = [[sum(masks[(i + j) % segments] for j in range(k)) for k in range(1, segments + 1)] for i in range(segments)]
     keys = ", ".join(f"struct({i} AS ring, fp & {_signed(c[lead - 1])} AS bits)" for i, c in enumerate(chains))
-    members = fps.select("fp", F.explode(F.expr(f"array({keys})")).alias("block"))
+    members = fps.select("fp", F.col("fp").alias("node"), F.explode(F.expr(f"array({keys})")).alias("block"))
     pairs, large = split_blocks(members, hot)
 
     within = " OR ".join(
-        "(" + " AND ".join(f"bit_count((a ^ b) & {_signed(m)}) <= {n}" for m, n in zip(c[lead - 1 :], budgets[lead - 1 :], strict=True)) + ")"
+        "(" + " AND ".join(f"bit_count(x & {_signed(m)}) <= {n}" for m, n in zip(c[lead - 1 :], budgets[lead - 1 :], strict=True)) + ")"
         for c in chains
     )
-    near = pairs.distinct().where(within).where(f"bit_count(a ^ b) <= {max_diff}")
+    near = pairs.distinct().where(within).where(f"bit_count(x) <= {max_diff}").select("a", "b")
 
     free = "CASE block.ring " + " ".join(f"WHEN {i} THEN {_signed((1 << BITS) - 1 - c[lead - 1])}" for i, c in enumerate(chains)) + " END"
     spread = large.select("fp", F.expr(free).alias("free"), F.col("fp").alias("at"), F.lit(-1).alias("last"))
