@@ -11,6 +11,7 @@ from claimweave.llm.bpe import decode, encode
 from claimweave.llm.common import read
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
+from claimweave.llm.mixing import label_domain, mix, train
 from claimweave.llm.simhash import near_duplicates
 
 
@@ -24,6 +25,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Domain shares of the mix, and the domains in the order of their probabilities.
+MIX_WEIGHTS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain probabilities, expected copies and drawn copies of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", label_domain().alias("domain"))
+    found = mix(docs, train(docs, labels, list(MIX_WEIGHTS)), MIX_WEIGHTS)
+    return found.select(
+        "doc_id",
+        F.col("__n_tokens").alias("n_tokens"),
+        *(F.col(f"__p_{d}").alias(f"p_{d}") for d in MIX_WEIGHTS),
+        F.col("__rate").alias("rate"),
+        F.col("__copies").alias("copies"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines that go as fuzzy repeats, and a digest of the text that stays."""
     found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,5 +82,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
