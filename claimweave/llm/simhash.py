@@ -129,3 +129,13 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     of_fp = named.join(least, "root").select("fp", "component")
     return slim.join(of_fp, "fp").select("id", "text_key", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_diff: int = 2, segments: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of ``near_duplicates``: that of the smallest id (a null id
+    only where there is no other), and of several texts with that id the one of least hash."""
+    found = near_duplicates(docs, id_col, text, shingle, max_diff, segments)
+    first = found.where("id <=> component").groupBy("component").agg(F.min("text_key").alias("__key"))
+    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    kept = docs.join(first, docs[id_col].eqNullSafe(first.component) & (key == first["__key"])).drop("component")
+    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
