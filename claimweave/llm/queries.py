@@ -12,9 +12,27 @@ from claimweave.llm.common import read
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
+from claimweave.llm.sharding import shuffle_to_shards
 from claimweave.llm.simhash import near_duplicates
 
 
+SHARDS = 16
+
+
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose row counts are at most one apart, in uniform random order."""
+    found = shuffle_to_shards(read(spark, sf_dir, "documents"), SHARDS)
+    return found.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word-shingle SimHash of every document, linked at 2 or fewer differing bits."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_diff=2)
@@ -82,5 +100,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op1_shards": op1_shards, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
