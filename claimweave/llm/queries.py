@@ -14,6 +14,7 @@ from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
 from claimweave.llm.sharding import shuffle_to_shards
 from claimweave.llm.simhash import near_duplicates
+from claimweave.llm.urls import host_of, judge, mine, path_of, tokens_of
 
 
 SHARDS = 16
@@ -33,6 +34,18 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the fixed rules, else by rules mined from the labels of its document:
+    a page is a bad example if its document is toxic or of low quality."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), label_domain().alias("domain"))
+    url = F.col("url")
+    labelled = pages.join(labels, "page_id").select(tokens_of(url, host_of(url), path_of(url)).alias("tokens"), (F.col("domain") != "high").alias("blocked"))
+    return judge(pages, mine(labelled)).select(
+        "page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.col("__score").alias("score")
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word-shingle SimHash of every document, linked at 2 or fewer differing bits."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_diff=2)
@@ -100,5 +113,5 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
