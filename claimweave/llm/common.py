@@ -44,6 +44,7 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of each Arrow batch; texts of 100 KB and more are common in a corpus."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

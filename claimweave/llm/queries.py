@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.bpe import decode, encode
 from claimweave.llm.common import read
+from claimweave.llm.exact_topk import exact_topk
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
@@ -74,6 +75,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products for each vector whose id is divisible by 100."""
+    return exact_topk(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines that go as fuzzy repeats, and a digest of the text that stays."""
     found = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -113,5 +119,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+ORACLES: dict[str, str] = {
+    "op8_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, min(list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE)))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id),
+        s AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), p -> p[1] * p[2])) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+}
