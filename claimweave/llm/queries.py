@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.llm.ann import nearest
 from claimweave.llm.bpe import decode, encode
 from claimweave.llm.common import read
 from claimweave.llm.exact_topk import exact_topk
@@ -47,6 +48,11 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 20 largest inner products for each vector whose id is divisible by 20."""
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word-shingle SimHash of every document, linked at 2 or fewer differing bits."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_diff=2)
@@ -119,7 +125,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
