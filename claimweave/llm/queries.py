@@ -14,6 +14,8 @@ from claimweave.llm.exact_topk import exact_topk
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
+from claimweave.llm.secrets import example_findings, scan
+from claimweave.llm.secrets import train as forest_of
 from claimweave.llm.sharding import shuffle_to_shards
 from claimweave.llm.simhash import near_duplicates
 from claimweave.llm.urls import host_of, judge, mine, path_of, tokens_of
@@ -53,6 +55,12 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every suspicious word of every document, and whether the forest takes it for a secret."""
+    found = scan(read(spark, sf_dir, "documents"), forest_of(example_findings(spark)))
+    return found.select(F.col("id").alias("doc_id"), "nth", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word-shingle SimHash of every document, linked at 2 or fewer differing bits."""
     found = near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_diff=2)
@@ -125,7 +133,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
