@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import small_batches
 
-#: Words of up to WORD_SYMBOLS are remembered; the memory of a worker is emptied at WORDS entries.
-WORDS, WORD_SYMBOLS = 1 << 17, 64
+#: A worker remembers words and prefixes of words, of up to RUN_CHARS, and which tokens fit each
+#: other; it forgets all of a kind at so many.
+RUNS, PREFIXES, PAIRS, RUN_CHARS = 1 << 18, 1 << 18, 1 << 19, 64
+#: Python takes these for white space, the tokenizer does not.
+_SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NEVER = 1 << 62
 
 
@@ -50,10 +53,7 @@ class VocabularyAutomaton:
             self.own.setdefault(state, []).append((n, token))
         for own in self.own.values():
             own.sort(reverse=True)
-        #: The nearest state along the suffix links, from the state itself, that has tokens.
-        self.near = [-1] * len(self.steps)
-        for state in sorted(range(len(self.steps)), key=self.length.__getitem__):
-            self.near[state] = state if state in self.own else (self.near[self.link[state]] if state else -1)
+        self.known: dict[int, tuple[tuple[int, int], ...]] = {}
 
     def _clone(self, p: int, c: int, q: int) -> int:
         copy = len(self.steps)
@@ -83,29 +83,21 @@ class VocabularyAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
-    def matches(self, symbols: list[int]) -> Iterator[list[tuple[int, int]]]:
-        """For each prefix of ``symbols``: (length, token) of every token that is a suffix of it."""
-        state = held = 0
-        for c in symbols:
-            while state and c not in self.steps[state]:
-                state = self.link[state]
-                held = self.length[state]
-            if c in self.steps[state]:
-                state, held = self.steps[state][c], held + 1
-            found = []
-            at = self.near[state]
-            while at >= 0:
-                found += [x for x in self.own[at] if x[0] <= held]
-                at = self.near[self.link[at]] if at else -1
-            yield found
+    def suffixes(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(length, token) of every token that is a suffix of the longest string of a state, longest first."""
+        found = self.known.get(state)
+        if found is None:
+            own = tuple(self.own.get(state, ()))
+            found = self.known[state] = own + (self.suffixes(self.link[state]) if state else ())
+        return found
 
 
 class Bpe:
     """Encoder and decoder for a vocabulary file with lower-casing, word ends and byte-level symbols.
 
     The special tokens of the file are recognised in the raw text. Text between them is NFC-normalised,
-    white space becomes single spaces, characters are lower-cased one by one, the pattern picks words,
-    and each word's bytes are encoded by themselves.
+    characters are lower-cased one by one, the pattern picks words, which hold no white space, and each
+    word's bytes are encoded by themselves.
     """
 
     def __init__(self, source: str) -> None:
@@ -117,7 +109,6 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words_of = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        self.gaps = regex.compile(r"\p{White_Space}+")
         signs = byte_symbols()
         self.inner = [vocab[signs[b]] for b in range(256)]
         self.final = [vocab[signs[b] + suffix] for b in range(256)]
@@ -133,13 +124,15 @@ class Bpe:
                 raise ValueError(f"the merges make {a + b!r} twice or before its parts")
             self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
             spelled[whole] = spelled[left] + spelled[right]
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         reachable = {i for i in spelled if self.rank[i] < 0}
         for i in sorted(spelled, key=self.rank.__getitem__):
             if self.rank[i] >= 0 and self.left[i] in reachable and self.right[i] in reachable and self._stand(self.left[i], self.right[i], self.rank[i]):
                 reachable.add(i)
-        self.automaton = VocabularyAutomaton({i: spelled[i] for i in reachable})
-        self._known: dict[str, np.ndarray] = {}
+        automaton = VocabularyAutomaton({i: spelled[i] for i in reachable})
+        self.steps, self.link, self.length, self.suffixes = automaton.steps, automaton.link, automaton.length, automaton.suffixes
+        self._known: dict[str, bytes] = {}
+        self.forget()
 
     def _stand(self, x: int, y: int, until: int) -> bool:
         """Whether x and y, side by side, are both made before any merge of rank below ``until`` joins
@@ -159,55 +152,95 @@ class Bpe:
 
     def fits(self, x: int, y: int) -> bool:
         """Whether BPE of the two tokens' joined spelling gives back just these two tokens."""
-        key = (x, y)
+        key = x << 32 | y
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= WORDS * 4:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._stand(x, y, _NEVER)
         return known
 
-    def encode_word(self, word: str) -> np.ndarray:
-        """Every prefix has one encoding, so one last token: the only token ending there that fits the
-        last token of the prefix before it. The ids are read off backwards from the whole word."""
+    def _grow(self, path: list[int], c: int) -> int:
+        """A new prefix: that of ``path`` (its own prefixes, by number, shortest first) and symbol c.
+        It has one encoding, so one last token: the only one ending here that fits the last token of
+        the prefix before it."""
+        state, held = self.state[path[-1]], self.held[path[-1]]
+        while c not in self.steps[state]:
+            state = self.link[state]
+            held = self.length[state]
+        state, held = self.steps[state][c], held + 1
+        end = len(path)
+        for n, token in self.suffixes(state):
+            if n <= held and (n == end or self.fits(self.last[path[end - n]], token)):
+                self.state.append(state)
+                self.held.append(held)
+                self.last.append(token)
+                self.size.append(n)
+                return len(self.state) - 1
+        raise ValueError("the vocabulary lacks a symbol")
+
+    def encode_word(self, word: str) -> bytes:
+        """The last tokens of all prefixes, remembered for words that begin alike, then the ids (four
+        bytes each), read off backwards from the whole word."""
         data = word.encode("utf-8", "surrogatepass")
-        symbols = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(symbols) + 1)
-        for end, found in enumerate(self.automaton.matches(symbols), 1):
-            for n, token in found:
-                if n == end or self.fits(last[end - n][0], token):
-                    last[end] = (token, n)
-                    break
+        if len(self.state) > PREFIXES:
+            self.forget()
+        longer, inner, start, short = self.longer, self.inner, len(self.state), len(data) <= RUN_CHARS
+        node, path = 0, [0]
+        for b in data[:-1]:
+            key = node << 32 | inner[b]
+            if key in longer:
+                node = longer[key]
+            else:
+                node = self._grow(path, inner[b])
+                if short:
+                    longer[key] = node
+            path.append(node)
+        path.append(self._grow(path, self.final[data[-1]]))
         ids = []
-        end = len(symbols)
+        end = len(data)
         while end:
-            token, n = last[end]
-            ids.append(token)
-            end -= n
-        return np.array(ids[::-1], np.int32)
-
-    def _word(self, word: str) -> np.ndarray:
-        ids = self._known.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) <= WORD_SYMBOLS:
-                if len(self._known) >= WORDS:
-                    self._known.clear()
-                self._known[word] = ids
-        return ids
+            node = path[end]
+            ids.append(self.last[node])
+            end -= self.size[node]
+        for held in (self.state, self.held, self.last, self.size):
+            del held[start if not short else -1 :]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def forget(self) -> None:
+        """Empty the memory of prefixes: automaton state, length matched, last token and its size."""
+        self.state, self.held, self.last, self.size = [0], [0], [-1], [0]
+        self.longer: dict[int, int] = {}
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run without white space."""
+        known = self._known
+        words = [run] if run.isalpha() else self.words_of.findall(run)
+        parts = []
+        for word in words:
+            got = known.get(word)
+            if got is None:
+                got = self.encode_word(word)
+                if len(word) <= RUN_CHARS:
+                    if len(known) >= RUNS:
+                        known.clear()
+                    known[word] = got
+            parts.append(got)
+        return b"".join(parts)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; none for a null or empty one."""
-        if not text:
-            return np.zeros(0, np.int32)
-        parts: list[np.ndarray] = []
-        for piece in self.split_special.split(text) if self.split_special else [text]:
+        parts: list[bytes] = []
+        known = self._known.get
+        for piece in (self.split_special.split(text) if self.split_special else [text]) if text else []:
             if piece in self.special:
-                parts.append(np.array([self.special[piece]], np.int32))
+                parts.append(np.array([self.special[piece]], np.int32).tobytes())
             elif piece:
-                plain = self.gaps.sub(" ", unicodedata.normalize("NFC", piece)).replace("Σ", "σ").lower()
-                parts += map(self._word, self.words_of.findall(plain))
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+                # words hold no white space, so the runs between it can be encoded apart
+                plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+                for run in [plain] if _SEPARATORS.search(plain) else plain.split():
+                    parts.append(known(run) or self._run(run))
+        return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray | None) -> str:
         """The tokens of ``ids``, special ones included, joined by spaces: the file names no decoder."""
