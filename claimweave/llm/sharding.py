@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import cut, small
 
 #: Rows of a shard that are ordered together, about.
-BIN_ROWS = 20_000
+BIN_ROWS = 4_000
 #: numpy draws from populations below this.
 _POPULATION = 10**9
 
