@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from claimweave.plans import claims as _claims
+
+QUERIES = {**_claims.QUERIES}
+ORACLES: dict[str, str] = {**_claims.ORACLES}
