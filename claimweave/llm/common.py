@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side up to which it may be broadcast; beyond that it is shuffled.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 256
 
