@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimweave.plans import claims as _claims
+from claimweave.plans import analytics, claims
 
-QUERIES = {**_claims.QUERIES}
-ORACLES: dict[str, str] = {**_claims.ORACLES}
+_PARTS = (claims, analytics)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

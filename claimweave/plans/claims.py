@@ -10,12 +10,17 @@ from claimweave.plans.dialect import CLAIMS, ENRICH, GATE
 from claimweave.sources.tables import claims
 
 
-def _enriched(spark, d):
-    return C.enrich(claims(spark, d))
+def enriched(spark, d):
+    """Claims with their derived columns, kept: many queries start here, and filters on long derived
+    expressions would otherwise be copied into the scan."""
+    return C.enrich(claims(spark, d)).persist()
 
 
-def _gated(spark, d):
-    return C.gate(_enriched(spark, d))
+def gated(spark, d):
+    return C.gate(enriched(spark, d)).persist()
+
+
+_enriched, _gated = enriched, gated
 
 
 def _pick(make, *columns):

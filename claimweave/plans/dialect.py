@@ -18,7 +18,7 @@ def steps(name: str, source: str, columns: list[tuple[str, str]]) -> str:
     out, last = [], source
     for i, (column, sql) in enumerate(columns):
         now = name if i == len(columns) - 1 else f"{name}_{i}"
-        out.append(f"{now} AS (SELECT *, {portable(sql)} AS {column} FROM {last})")
+        out.append(f"{now} AS MATERIALIZED (SELECT *, {portable(sql)} AS {column} FROM {last})")
         last = now
     return ", ".join(out)
 
