@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from claimweave.plans import analytics, claims
+from claimweave.plans import analytics, claims, views
 
-_PARTS = (claims, analytics)
+_PARTS = (claims, analytics, views)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
