@@ -186,9 +186,9 @@ def risk_score(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(F.col("vagueness") >= 0.4).alias("vague"), F.count_if(F.col("claim_type") == "narrative").alias("narrative"), F.count_if(F.col("metric_value").isNull()).alias("missing")
     )
     joined = shares.join(conflicts.groupBy("report_id").agg(F.count("*").alias("conflicts")), "report_id", "left").fillna(0, ["conflicts"])
-    risk = F.least(F.lit(1.0), (0.4 * F.col("vague") + 0.3 * F.col("conflicts") + 0.2 * F.col("narrative") + 0.1 * F.col("missing")) / F.col("n"))
+    risk = F.least(F.lit(1.0), (4 * F.col("vague") + 3 * F.col("conflicts") + 2 * F.col("narrative") + F.col("missing")) / (10 * F.col("n")))
     status = F.when(F.col("risk") > 0.6, "High Risk").when(F.col("risk") > 0.3, "Moderate Risk").otherwise("Low Risk")
-    return joined.withColumn("risk", F.round(risk, 4)).select("report_id", "vague", "narrative", "missing", "conflicts", "risk", status.alias("status"))
+    return joined.withColumn("risk", risk).select("report_id", "vague", "narrative", "missing", "conflicts", "risk", status.alias("status"))
 
 
 def portfolio(claims: DataFrame, scores: DataFrame) -> DataFrame:

@@ -126,6 +126,6 @@ ORACLES = {
     "portfolio": f"""WITH {ENRICH}, {_flag_sql()}, {_score_sql(_BOTH)}, l AS (SELECT company_id, arg_max(report_id, report_year) AS report_id, max(report_year) AS report_year FROM enriched GROUP BY company_id)
         SELECT company_id, report_id, report_year, score, grade FROM l LEFT JOIN graded USING (report_id)""",
     "risk_score": f"""WITH {_CONFLICTS}, s AS (SELECT report_id, count(*) AS n, count(*) FILTER (vagueness >= 0.4) AS vague, count(*) FILTER (claim_type = 'narrative') AS narrative, count(*) FILTER (metric_value IS NULL) AS missing FROM enriched GROUP BY report_id),
-        j AS (SELECT s.*, coalesce(c.n, 0) AS conflicts, round(least(1, (0.4 * vague + 0.3 * coalesce(c.n, 0) + 0.2 * narrative + 0.1 * missing) / s.n), 4) AS risk FROM s LEFT JOIN (SELECT report_id, count(*) AS n FROM conflicts GROUP BY report_id) AS c USING (report_id))
+        j AS (SELECT s.*, coalesce(c.n, 0) AS conflicts, least(1e0, (4 * vague + 3 * coalesce(c.n, 0) + 2 * narrative + missing) / (10 * s.n)) AS risk FROM s LEFT JOIN (SELECT report_id, count(*) AS n FROM conflicts GROUP BY report_id) AS c USING (report_id))
         SELECT report_id, vague, narrative, missing, conflicts, risk, CASE WHEN risk > 0.6 THEN 'High Risk' WHEN risk > 0.3 THEN 'Moderate Risk' ELSE 'Low Risk' END AS status FROM j""",
 }
