@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.blocks import split_blocks
 from claimweave.llm.common import cut, small_batches
 from claimweave.llm.components import connected_components
+from claimweave.llm.nearcopies import keep_first
 
 BITS = 64
 #: Blocks of more fingerprints than this are linked through shared neighbours instead of pairs.
@@ -120,6 +121,11 @@ def near_duplicates(
     texts have fingerprint zero and link like any other. Repeated rows give repeated result rows; a
     null id takes part, but names a component only if there is no other. Other columns are not read.
     """
+    return _rooted(docs, id_col, text, shingle, max_diff, segments).drop("root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text: str, shingle: int, max_diff: int, segments: int) -> DataFrame:
+    """``near_duplicates`` with ``root``, the fingerprint that names the component whatever its ids."""
     key = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), key)
     slim = cut(with_fingerprint(slim, "text", "fp", shingle).select("id", "text_key", "fp"))
@@ -127,15 +133,11 @@ def near_duplicates(
     parts = connected_components(near_links(nodes.select("fp"), max_diff, segments))
     named = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    of_fp = named.join(least, "root").select("fp", "component")
-    return slim.join(of_fp, "fp").select("id", "text_key", "fp", "component")
+    of_fp = named.join(least, "root").select("fp", "component", "root")
+    return slim.join(of_fp, "fp").select("id", "text_key", "fp", "component", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_diff: int = 2, segments: int = 5) -> DataFrame:
     """``docs`` with one row of each group of ``near_duplicates``: that of the smallest id (a null id
     only where there is no other), and of several texts with that id the one of least hash."""
-    found = near_duplicates(docs, id_col, text, shingle, max_diff, segments)
-    first = found.where("id <=> component").groupBy("component").agg(F.min("text_key").alias("__key"))
-    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    kept = docs.join(first, docs[id_col].eqNullSafe(first.component) & (key == first["__key"])).drop("component")
-    return kept.dropDuplicates([id_col, "__key"]).drop("__key")
+    return keep_first(docs, _rooted(docs, id_col, text, shingle, max_diff, segments), id_col, text)
