@@ -90,20 +90,21 @@ def posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFr
     return grown.select("text_key", "rows", "n_tokens", *((F.col(f"e{i}") / total).alias(f"p{i}") for i in k))
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> Column:
+def fit_rates(members: DataFrame, targets: list[float], least: Column | None = None) -> Column:
     """The rate column for ``members`` (rows, n_tokens, p0, ...): projected gradient steps from 1.
 
     The least-squares gap between expected domain tokens (rows x tokens x probability x rate, summed)
     and ``targets`` is reduced; each step moves a rate along its probabilities, scaled by the Gram
     matrix of the texts with a positive rate, and is cut off at zero. A step is one aggregation over
-    the data; the driver sees the few sums only.
+    the data; the driver sees the few sums only. If ``least`` gives each text a rate that it may not
+    fall below, steps are cut off there and scaled by the Gram matrix of all texts, so the gap never grows.
     """
     k = range(len(targets))
     goal = np.array(targets)
     rate = F.lit(1.0)
     for _ in range(STEPS):
         at = members.withColumn("rate", rate).withColumn("mass", F.col("rows") * F.col("n_tokens"))
-        live = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
+        live = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0) if least is None else F.col("mass")
         sums = [F.sum(F.col("mass") * F.col(f"p{i}") * F.col("rate")).alias(f"t{i}") for i in k]
         gram = [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in k for j in k]
         row = at.agg(*sums, *gram).first()
@@ -113,12 +114,13 @@ def fit_rates(members: DataFrame, targets: list[float]) -> Column:
         matrix = np.array([[row[f"g{i}_{j}"] or 0.0 for j in k] for i in k])
         matrix += np.eye(len(targets)) * max(1e-9 * np.trace(matrix), 1e-9)
         step = np.linalg.solve(matrix, gap)
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(float(step[i])) for i in k), F.lit(0.0)))
+        rate = F.greatest(F.lit(0.0) if least is None else least, rate - sum((F.col(f"p{i}") * F.lit(float(step[i])) for i in k), F.lit(0.0)))
     return rate
 
 
 def mix(
-    docs: DataFrame, model: Classifier, weights: dict[str, float], total_tokens: float | None = None, id_col: str = "doc_id", text: str = "text", seed: int = 7
+    docs: DataFrame, model: Classifier, weights: dict[str, float], total_tokens: float | None = None, id_col: str = "doc_id", text: str = "text", seed: int = 7,
+    keep: str | None = None,
 ) -> DataFrame:
     """``docs`` with ``__n_tokens``, ``__p_<domain>``, ``__rate`` (expected copies) and ``__copies``.
 
@@ -128,14 +130,27 @@ def mix(
     empty text has no tokens and the domain of the prior; repeated rows are copied alike; null ids take
     part. Rows are not dropped here and an empty table stays empty. A domain that no text belongs to
     misses its target.
+
+    With ``keep``, that domain's target is what it has, each other one's its share against it but no more
+    than it has, and no text that is likeliest of that domain gets a rate under one.
     """
     if set(weights) != set(model.domains):
         raise ValueError("weights must name the domains of the classifier")
     members = cut(posteriors(docs, model, text))
-    if total_tokens is None:
+    k = range(len(model.domains))
+    if keep is not None and total_tokens is not None:
+        raise ValueError("with keep the targets follow from the texts")
+    if keep is None and total_tokens is None:
         total_tokens = float(members.agg(F.sum(F.col("rows") * F.col("n_tokens"))).first()[0] or 0)
-    scale = total_tokens / (sum(weights.values()) or 1.0)
-    rate = fit_rates(members, [weights[d] * scale for d in model.domains])
+    if keep is None:
+        scale = total_tokens / (sum(weights.values()) or 1.0)
+        rate = fit_rates(members, [weights[d] * scale for d in model.domains])
+    else:
+        row = members.agg(*(F.sum(F.col("rows") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in k)).first()
+        had = {d: row[f"t{i}"] or 0.0 for i, d in enumerate(model.domains)}
+        scale = had[keep] / weights[keep]
+        mine = F.col(f"p{model.domains.index(keep)}") >= F.greatest(*(F.col(f"p{i}") for i in k), F.lit(0.0))
+        rate = fit_rates(members, [min(had[d], weights[d] * scale) for d in model.domains], F.when(mine, 1.0).otherwise(0.0))
     rated = members.select(
         F.col("text_key").alias("__key"), F.col("n_tokens").alias("__n_tokens"), *(F.col(f"p{i}").alias(f"__p_{d}") for i, d in enumerate(model.domains)), rate.alias("__rate")
     )
