@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import cut
@@ -17,6 +17,15 @@ TRAIN_ROWS = 50_000
 #: A word is a candidate if it has a run like this, or assigns something to a name like one of KEYS.
 RUN = "(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{10,}"
 KEYS = "pass|pwd|secret|token|key|auth|credential|bearer|private"
+#: What ends a piece of a word, what may stand before one, and a piece after the names that it is assigned to.
+_STOPS, _OPEN = r"""\s"'`,;<>()\[\]{}|#$%&*!?""", r"""["'(\[{<`]*"""
+PIECE = rf"""{_OPEN}(?:([A-Za-z][A-Za-z0-9_.-]{{1,40}})["']?[=:]+{_OPEN}){{0,4}}([^{_STOPS}]+)"""
+#: A value with any signs, assigned to a name like one of KEYS: up to the next assignment or the closing signs.
+ASSIGNED = rf"""(?i)([A-Za-z0-9_.-]{{0,40}}(?:{KEYS})[A-Za-z0-9_.-]{{0,40}})["']?[=:]+["'`]?([^\s"'`]\S*?)(?=["'`]?[)\]}}>,;.:"'`]*$|["'`]?[,;&}}\]]["'`{{}}\[\],]*[A-Za-z][A-Za-z0-9_.-]*["']?[=:])"""
+#: The password in the address of a service.
+LOGIN = "://[^/@:]*:([^/@]+)@"
+#: Shortest assigned value.
+SHORT = 6
 #: Words around a finding that speak against a secret, and parts of a path that do.
 PLAIN_WORDS = "sha|md5|commit|checksum|digest|hash|revision|uuid|guid|isbn|phone|tel|call|card|order|invoice|version|page|figure|http|example|sample|dummy|placeholder"
 PLAIN_PATHS = "test|example|sample|fixture|mock|doc|readme|tutorial"
@@ -33,23 +42,60 @@ FEATURES = [
 ]
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source", after_key: bool = False) -> DataFrame:
     """(id, path, nth, before2, before, word, after): every candidate word of the whole texts with its
-    place among the text's words (from 0) and its neighbours."""
+    place among the text's words (from 0) and its neighbours. With ``after_key`` also words of SHORT
+    characters or more whose name and sign of assignment are the words before."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(path).cast("string").alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("words"))
     test = f"length(w) >= 10 AND (w RLIKE '{RUN}' OR w RLIKE '(?i)({KEYS})[^=:]{{0,12}}[=:].{{6,}}')"
+    if after_key:
+        last, name = "coalesce(get(words, i - 1), '')", f"(?i)({KEYS})[^=:]{{0,12}}"
+        test += f""" OR (length(w) >= {SHORT} AND ({last} RLIKE '{name}[=:]+$' OR ({last} RLIKE '^[=:]+$' AND coalesce(get(words, i - 2), '') RLIKE '{name}$')))"""
     found = f"""filter(transform(words, (w, i) -> CASE WHEN {test} THEN named_struct('nth', i, 'word', w,
         'before2', CASE WHEN i > 1 THEN words[i - 2] END, 'before', CASE WHEN i > 0 THEN words[i - 1] END, 'after', get(words, i + 1)) END), s -> s IS NOT NULL)"""
     return rows.select("id", "path", F.explode(F.expr(found)).alias("s")).select("id", "path", "s.nth", "s.before2", "s.before", "s.word", "s.after")
 
 
+def candidates(found: DataFrame) -> DataFrame:
+    """``found`` (see ``findings``) with one row for each ``candidate`` of a word and its ``name``: pieces that have
+    a run of RUN, values of SHORT characters or more that are assigned to a name like one of KEYS (as cut
+    at signs, and with them), passwords in addresses. Equal candidates of a word are one."""
+    word = F.col("word")
+
+    def pairs(pattern: str) -> Column:
+        return F.arrays_zip(F.regexp_extract_all(word, F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all(word, F.lit(pattern), F.lit(2)).alias("value"))
+
+    def struct(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("name"), value.alias("value"))
+
+    pieces = F.transform(pairs(PIECE), lambda p: struct(p["name"], F.regexp_replace(p["value"], "[.:]+$", "")))
+    names = F.transform(pieces, lambda p: struct(F.lit(""), p["name"]))
+    whole = F.transform(pairs(ASSIGNED), lambda p: struct(p["name"], p["value"]))
+    logins = F.transform(F.regexp_extract_all(word, F.lit(LOGIN), F.lit(1)), lambda x: struct(F.lit("password"), x))
+    keyed = F.coalesce(F.col("before").rlike(f"(?i)({KEYS})[^=:]{{0,12}}[=:]+$") | (F.col("before").rlike("^[=:]+$") & F.col("before2").rlike(f"(?i)({KEYS})")), F.lit(False))
+    taken = F.filter(
+        F.concat(whole, logins, pieces, names),
+        lambda p: ((F.length(p["value"]) >= 10) & p["value"].rlike(RUN)) | ((F.length(p["value"]) >= SHORT) & (p["name"].rlike(f"(?i)({KEYS})") | (keyed & (p["name"] == "")))),
+    )
+    # a value that follows its name by words may hold any signs
+    bare = F.regexp_replace(F.regexp_replace(word, f"^{_OPEN}", ""), r"""["'`)\]}>,;.:]+$""", "")
+    taken = F.concat(taken, F.when(keyed & (F.length(bare) >= SHORT), F.array(struct(F.lit(""), bare))).otherwise(F.array().cast("array<struct<name:string,value:string>>")))
+    taken = F.array_sort(F.transform(taken, lambda p: F.struct(p["value"].alias("value"), p["name"].alias("name"))))
+    first = F.expr("filter(__taken, (p, i) -> i + 1 = size(__taken) OR p.value <> get(__taken, i + 1).value)")
+    rows = found.withColumn("__taken", taken).withColumn("__p", F.explode(first))
+    return rows.withColumns({"name": F.col("__p.name"), "candidate": F.col("__p.value")}).drop("__taken", "__p")
+
+
 def with_features(found: DataFrame) -> DataFrame:
     """``found`` with ``candidate``, the suspected value in the word, and the columns of FEATURES: its
-    length, character classes and transitions between them, dictionary coverage, path and neighbours."""
+    length, character classes and transitions between them, dictionary coverage, path and neighbours. Names and
+    candidates that are there already (see ``candidates``) stay."""
     word = F.col("word")
     name = F.regexp_extract(word, r"""^["'(\[{]*([A-Za-z][A-Za-z0-9_.-]{1,40})["']?[=:]+""", 1)
     value = F.when(name != "", F.regexp_replace(word, r"""^["'(\[{]*[A-Za-z][A-Za-z0-9_.-]{1,40}["']?[=:]+""", "")).otherwise(word)
     value = F.regexp_replace(F.regexp_extract(value, r"""^["'(\[{<`]*([^"'`,;<>()\[\]{}|#$%&*!?]*)""", 1), "[.:]+$", "")
+    if "candidate" in found.columns:
+        name, value = F.col("name"), F.col("candidate")
     base = found.withColumns({"__name": F.lower(name), "candidate": value})
     c = F.col("candidate")
     n = F.greatest(F.length(c), F.lit(1))
@@ -139,12 +185,12 @@ def train(labelled: DataFrame, seed: int = 3) -> PipelineModel:
 
 
 def scan(docs: DataFrame, forest: PipelineModel, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """(id, path, nth, word, candidate, probability, secret) of every candidate in the whole texts.
+    """(id, path, nth, word, candidate, probability, secret) of every candidate in the whole texts, all of a word.
 
     ``secret`` is what the forest leaves after removing false positives: probability over one half. Null
     and empty texts have no candidates; repeated rows give repeated findings; a null id or path takes
     part; other columns are not read.
     """
-    scored = forest.transform(with_features(findings(docs, id_col, text, path)))
+    scored = forest.transform(with_features(candidates(findings(docs, id_col, text, path, after_key=True))))
     probability = vector_to_array("probability")[1]
     return scored.select("id", "path", "nth", "word", "candidate", probability.alias("probability"), (probability > 0.5).alias("secret"))
