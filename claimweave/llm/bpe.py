@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import small_batches
 
-#: A worker remembers words and prefixes of words, of up to RUN_CHARS, and which tokens fit each
-#: other; it forgets all of a kind at so many.
-RUNS, PREFIXES, PAIRS, RUN_CHARS = 1 << 18, 1 << 18, 1 << 19, 64
+#: A task remembers words and prefixes of words, of up to RUN_CHARS, and which tokens fit each other. Of
+#: words the last RUNS met and those of RUNS before them stay; prefixes and pairs go at so many. Everything
+#: goes when the task ends, for workers outlive their tasks.
+RUNS, PREFIXES, PAIRS, RUN_CHARS = 1 << 17, 1 << 18, 1 << 18, 64
+#: Symbols are bytes, and bytes that end a word from 256 on.
+_ENDS, _WIDTH = 256, 9
 #: Python takes these for white space, the tokenizer does not.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _NEVER = 1 << 62
@@ -53,7 +56,6 @@ class VocabularyAutomaton:
             self.own.setdefault(state, []).append((n, token))
         for own in self.own.values():
             own.sort(reverse=True)
-        self.known: dict[int, tuple[tuple[int, int], ...]] = {}
 
     def _clone(self, p: int, c: int, q: int) -> int:
         copy = len(self.steps)
@@ -83,13 +85,14 @@ class VocabularyAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
-    def suffixes(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(length, token) of every token that is a suffix of the longest string of a state, longest first."""
-        found = self.known.get(state)
-        if found is None:
-            own = tuple(self.own.get(state, ()))
-            found = self.known[state] = own + (self.suffixes(self.link[state]) if state else ())
-        return found
+    def flat(self) -> tuple[dict[int, int], list[int], list[int], list[int], dict[int, tuple[tuple[int, int], ...]]]:
+        """Steps by state and symbol, suffix links and lengths, the nearest state from each one on along the
+        links that has tokens (-1 for none), and the tokens of such states."""
+        steps = {state << _WIDTH | c: to for state, out in enumerate(self.steps) for c, to in out.items()}
+        nearest = [-1] * len(self.steps)
+        for state in sorted(range(1, len(self.steps)), key=self.length.__getitem__):
+            nearest[state] = state if state in self.own else nearest[self.link[state]]
+        return steps, self.link, self.length, nearest, {k: tuple(v) for k, v in self.own.items()}
 
 
 class Bpe:
@@ -109,29 +112,28 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words_of = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        #: Signs that are words of their own after letters.
+        self.signs = {c for c in ".,;:!?" if self.words_of.findall("ab" + c) == ["ab", c]}
         signs = byte_symbols()
-        self.inner = [vocab[signs[b]] for b in range(256)]
-        self.final = [vocab[signs[b] + suffix] for b in range(256)]
+        symbol = {vocab[signs[b]]: b for b in range(256)} | {vocab[signs[b] + suffix]: _ENDS + b for b in range(256)}
         size = max(vocab.values()) + 1
         #: Merge rank of a token, -1 for one of a single symbol; its halves.
         self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
-        self.pair: dict[tuple[int, int], int] = {}
-        spelled = {i: (i,) for i in [*self.inner, *self.final]}
+        self.pair: dict[int, int] = {}
+        spelled = {i: (c,) for i, c in symbol.items()}
         for rank, (a, b) in enumerate(model["merges"]):
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.pair[left, right] = rank
+            self.pair[left << 32 | right] = rank
             if self.rank[whole] >= 0 or whole in spelled or left not in spelled or right not in spelled:
                 raise ValueError(f"the merges make {a + b!r} twice or before its parts")
             self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
             spelled[whole] = spelled[left] + spelled[right]
-        self._fits: dict[int, bool] = {}
         reachable = {i for i in spelled if self.rank[i] < 0}
         for i in sorted(spelled, key=self.rank.__getitem__):
             if self.rank[i] >= 0 and self.left[i] in reachable and self.right[i] in reachable and self._stand(self.left[i], self.right[i], self.rank[i]):
                 reachable.add(i)
         automaton = VocabularyAutomaton({i: spelled[i] for i in reachable})
-        self.steps, self.link, self.length, self.suffixes = automaton.steps, automaton.link, automaton.length, automaton.suffixes
-        self._known: dict[str, bytes] = {}
+        self.steps, self.link, self.length, self.nearest, self.own = automaton.flat()
         self.forget()
 
     def _stand(self, x: int, y: int, until: int) -> bool:
@@ -140,7 +142,7 @@ class Bpe:
         equal ones is older, and of two equal merges the left one comes first."""
         x_gone = y_gone = until
         while True:
-            rank = self.pair.get((x, y), _NEVER)
+            rank = self.pair.get(x << 32 | y, _NEVER)
             if rank < x_gone and rank <= y_gone and rank != until:
                 return False
             if self.rank[x] < 0 and self.rank[y] < 0:
@@ -152,86 +154,103 @@ class Bpe:
 
     def fits(self, x: int, y: int) -> bool:
         """Whether BPE of the two tokens' joined spelling gives back just these two tokens."""
-        key = x << 32 | y
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) >= PAIRS:
-                self._fits.clear()
-            known = self._fits[key] = self._stand(x, y, _NEVER)
+        if len(self._fits) >= PAIRS:
+            self._fits.clear()
+        known = self._fits[x << 32 | y] = self._stand(x, y, _NEVER)
         return known
 
-    def _grow(self, path: list[int], c: int) -> int:
-        """A new prefix: that of ``path`` (its own prefixes, by number, shortest first) and symbol c.
-        It has one encoding, so one last token: the only one ending here that fits the last token of
-        the prefix before it."""
-        state, held = self.state[path[-1]], self.held[path[-1]]
-        while c not in self.steps[state]:
-            state = self.link[state]
-            held = self.length[state]
-        state, held = self.steps[state][c], held + 1
-        end = len(path)
-        for n, token in self.suffixes(state):
-            if n <= held and (n == end or self.fits(self.last[path[end - n]], token)):
-                self.state.append(state)
-                self.held.append(held)
-                self.last.append(token)
-                self.size.append(n)
-                return len(self.state) - 1
-        raise ValueError("the vocabulary lacks a symbol")
-
     def encode_word(self, word: str) -> bytes:
-        """The last tokens of all prefixes, remembered for words that begin alike, then the ids (four
-        bytes each), read off backwards from the whole word."""
+        """The ids of a word, four bytes each.
+
+        Every prefix has one encoding, so one last token: the only one ending there that fits the last token
+        of the prefix before it. The tokens that end at a place are those of the automaton's state there
+        and of the states along its links. Prefixes met before are looked up. The ids are read off
+        backwards from the whole word.
+        """
+        if len(self._state) > PREFIXES:
+            self._forget_prefixes()
+        steps, link, length, nearest, own, fit, longer = self.steps, self.link, self.length, self.nearest, self.own, self._fits, self._longer
         data = word.encode("utf-8", "surrogatepass")
-        if len(self.state) > PREFIXES:
-            self.forget()
-        longer, inner, start, short = self.longer, self.inner, len(self.state), len(data) <= RUN_CHARS
         node, path = 0, [0]
-        for b in data[:-1]:
-            key = node << 32 | inner[b]
-            if key in longer:
-                node = longer[key]
-            else:
-                node = self._grow(path, inner[b])
-                if short:
-                    longer[key] = node
+        for c in data[:-1]:
+            to = longer.get(node << _WIDTH | c)
+            if to is None:
+                break
+            node = to
             path.append(node)
-        path.append(self._grow(path, self.final[data[-1]]))
+        end = len(path) - 1
+        last, size = [self._last[x] for x in path], [self._size[x] for x in path]
+        state, held = self._state[node], self._held[node]
+        short = len(data) <= RUN_CHARS
+        for c in (*data[end:-1], _ENDS + data[-1]):
+            to = steps.get(state << _WIDTH | c)
+            while to is None:
+                if not state:
+                    raise ValueError("the vocabulary lacks a symbol")
+                state = link[state]
+                held = length[state]
+                to = steps.get(state << _WIDTH | c)
+            state, held, end = to, held + 1, end + 1
+            at, found = nearest[state], -1
+            while found < 0:
+                for n, token in own[at]:
+                    if n <= held:
+                        if n == end:
+                            found = token
+                            break
+                        before = last[end - n]
+                        known = fit.get(before << 32 | token)
+                        if self.fits(before, token) if known is None else known:
+                            found = token
+                            break
+                else:
+                    at = nearest[link[at]]
+            last.append(found)
+            size.append(n)
+            if short and c < _ENDS:
+                longer[node << _WIDTH | c] = node = len(self._state)
+                self._state.append(state)
+                self._held.append(held)
+                self._last.append(found)
+                self._size.append(n)
         ids = []
-        end = len(data)
         while end:
-            node = path[end]
-            ids.append(self.last[node])
-            end -= self.size[node]
-        for held in (self.state, self.held, self.last, self.size):
-            del held[start if not short else -1 :]
-        return np.array(ids[::-1], np.int32).tobytes()
+            ids.append(last[end])
+            end -= size[end]
+        return array("i", ids[::-1]).tobytes()
+
+    def _forget_prefixes(self) -> None:
+        """Empty the memory of prefixes: by number their automaton state, length matched, last token and its size."""
+        self._longer: dict[int, int] = {}
+        self._state, self._held, self._last, self._size = [0], [0], [-1], [0]
 
     def forget(self) -> None:
-        """Empty the memory of prefixes: automaton state, length matched, last token and its size."""
-        self.state, self.held, self.last, self.size = [0], [0], [-1], [0]
-        self.longer: dict[int, int] = {}
+        """Empty the memory of words, prefixes and tokens that fit."""
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._fits: dict[int, bool] = {}
+        self._forget_prefixes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, remembered if it is short."""
+        got = self._older.get(word) or self.encode_word(word)
+        if len(word) <= RUN_CHARS:
+            if len(self._known) >= RUNS:
+                self._older, self._known = self._known, {}
+            self._known[word] = got
+        return got
 
     def _run(self, run: str) -> bytes:
         """Ids of a run without white space."""
-        known = self._known
-        words = [run] if run.isalpha() else self.words_of.findall(run)
-        parts = []
-        for word in words:
-            got = known.get(word)
-            if got is None:
-                got = self.encode_word(word)
-                if len(word) <= RUN_CHARS:
-                    if len(known) >= RUNS:
-                        known.clear()
-                    known[word] = got
-            parts.append(got)
-        return b"".join(parts)
+        if run.isalpha():
+            return self._word(run)
+        if run[-1] in self.signs and run[:-1].isalpha():
+            return (self._known.get(run[:-1]) or self._word(run[:-1])) + self._word(run[-1])
+        return b"".join([self._known.get(w) or self._word(w) for w in self.words_of.findall(run)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; none for a null or empty one."""
         parts: list[bytes] = []
-        known = self._known.get
         for piece in (self.split_special.split(text) if self.split_special else [text]) if text else []:
             if piece in self.special:
                 parts.append(np.array([self.special[piece]], np.int32).tobytes())
@@ -239,7 +258,7 @@ class Bpe:
                 # words hold no white space, so the runs between it can be encoded apart
                 plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
                 for run in [plain] if _SEPARATORS.search(plain) else plain.split():
-                    parts.append(known(run) or self._run(run))
+                    parts.append(self._known.get(run) or self._run(run))
         return np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, ids: np.ndarray | None) -> str:
@@ -247,43 +266,71 @@ class Bpe:
         return "" if ids is None else " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-@functools.lru_cache(2)
-def _bpe(source: str) -> Bpe:
-    return Bpe(source)
+#: Encoders of this process by broadcast: vocabularies only, what they remember of texts is emptied.
+_HELD: dict[int, Bpe] = {}
+
 
+def _bpe(held) -> Bpe:
+    """The encoder of a broadcast, made once in a process and alone in it."""
+    if held.value[0] not in _HELD:
+        _HELD.clear()
+        _HELD[held.value[0]] = Bpe(held.value[1])
+    return _HELD[held.value[0]]
 
-def _source(path: str) -> str:
+
+def _shipped(df: DataFrame, path: str):
+    """The vocabulary file, read by the driver, as a broadcast; its size does not depend on the data."""
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        source = f.read()
+    return df.sparkSession.sparkContext.broadcast((hash(source), source))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "__ids") -> DataFrame:
     """``df`` with the token ids (array<int>) of each whole ``text``; null and empty texts have none.
 
-    The vocabulary file is read by the driver and shipped; its size does not depend on the data. Rows
-    stay as they are, repeated ones included.
+    Rows stay as they are, repeated ones included.
     """
-    small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(_source(path))
+    held = _shipped(df, path)
 
     @F.pandas_udf("array<int>")
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _bpe(held.value)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
+        bpe = _bpe(held)
+        try:
+            for texts in batches:
+                yield pd.Series([bpe.encode(t) for t in texts], dtype=object)
+        finally:
+            bpe.forget()
 
     return df.withColumn(out, ids_of(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "__ids", out: str = "__decoded") -> DataFrame:
     """``df`` with the text that each array of token ids stands for; a null array gives empty text."""
-    small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(_source(path))
+    held = _shipped(df, path)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _bpe(held.value)
+        bpe = _bpe(held)
         for arrays in batches:
             yield pd.Series([bpe.decode(x) for x in arrays], dtype=object)
 
     return df.withColumn(out, text_of(F.col(ids)))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "__bpe") -> DataFrame:
+    """``df`` with a struct ``out`` of ``ids`` as by ``encode`` and ``decoded``, what ``decode`` makes of
+    them, in one pass over the texts."""
+    held = _shipped(df, path)
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _bpe(held)
+        try:
+            for texts in batches:
+                ids = [bpe.encode(t) for t in texts]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([bpe.decode(x) for x in ids], dtype=object)})
+        finally:
+            bpe.forget()
+
+    return df.withColumn(out, both(F.col(text)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.ann import nearest
-from claimweave.llm.bpe import decode, encode
+from claimweave.llm.bpe import round_trip
 from claimweave.llm.common import read
 from claimweave.llm.exact_topk import exact_topk
 from claimweave.llm.langid import held_out, identify, labelled_sample
@@ -124,12 +124,12 @@ def vocabulary() -> str:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, and what they decode to, as counts and digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs, vocabulary()), vocabulary())
+    found = round_trip(docs, vocabulary())
     return found.select(
         "doc_id",
-        F.size("__ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("__ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("__decoded", 256).alias("decoded_sha256"),
+        F.size("__bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("__bpe.ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("__bpe.decoded", 256).alias("decoded_sha256"),
     )
 
 
