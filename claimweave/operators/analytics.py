@@ -45,11 +45,13 @@ def cross_company(claims: DataFrame, year: int | None = None) -> DataFrame:
     key = Window.partitionBy("metric_key")
     order = key.orderBy(F.desc("good"), "company_id")
     worse = F.count("*").over(key.orderBy("good").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count("*").over(Window.partitionBy("metric_key", "good"))
-    ranked = peers.withColumn("good", goodness).withColumns({"n": F.count("*").over(key), "rank": F.row_number().over(order), "worse": worse, "median": F.median("value").over(key)})
+    ranked = peers.withColumn("good", goodness).withColumns({"n": F.count("*").over(key), "rank": F.row_number().over(order), "worse": worse, "tenk": F.round(F.col("value") * 10000).cast("long")})
+    # twice the median in ten-thousandths, a whole number, so that no rounding tie decides
+    ranked = ranked.withColumn("median", (2 * F.median("tenk").over(key)).cast("long"))
     return ranked.select(
         "metric_key", "company_id", "metric_year", "unit", "value", "polarity", "rank",
         F.when(F.col("n") == 1, F.lit(100)).otherwise(F.floor(F.col("worse") * 100 / (F.col("n") - 1) + 0.5)).cast("int").alias("percentile"),
-        F.round(F.col("value") - F.col("median"), 4).alias("vs_median"), F.round("median", 4).alias("median"), F.col("n").alias("peers"),
+        (F.floor((2 * F.col("tenk") - F.col("median") + 1) / 2) / 1e4).alias("vs_median"), (F.floor((F.col("median") + 1) / 2) / 1e4).alias("median"), F.col("n").alias("peers"),
         F.when(F.col("n") < 3, "low").otherwise("ok").alias("confidence"),
     )
 
@@ -60,8 +62,12 @@ def scorecard(claims: DataFrame, min_peers: int = 2) -> DataFrame:
     return cross_company(claims).where((F.col("peers") >= min_peers) & F.expr(MEANINGFUL)).select("company_id", "metric_key", "rank", "peers", "percentile", verdict.alias("verdict"))
 
 
-def trajectory(claims: DataFrame) -> DataFrame:
-    """First and last year of each company's metric: change, share, yearly rate and trend."""
+def trajectory(claims: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """First and last year of each company's metric: change, share, yearly rate, compound rate and trend.
+
+    With ``targets`` (company_id, metric_key, target_value, target_year): the gap to the target, the yearly
+    change that it asks for, and whether the change so far is enough, by the metric's polarity.
+    """
     rep = representative(claims)
     ends = rep.groupBy("company_id", "metric_key").agg(
         F.min("metric_year").alias("first_year"), F.max("metric_year").alias("last_year"), F.min_by("value", "metric_year").alias("first_value"), F.max_by("value", "metric_year").alias("last_value"), F.count("*").alias("points")
@@ -69,57 +75,93 @@ def trajectory(claims: DataFrame) -> DataFrame:
     span = F.col("last_year") - F.col("first_year")
     change = F.col("last_value") - F.col("first_value")
     growth = F.when((F.col("first_value") > 0) & (F.col("last_value") > 0), F.pow(F.col("last_value") / F.col("first_value"), 1 / span) - 1)
-    trend = F.when(change > 0, "increasing").when(change < 0, "decreasing").otherwise("flat")
-    return ends.where("points > 1").select(
-        "company_id", "metric_key", "first_year", "last_year", "points", F.round(change, 4).alias("change"),
-        F.round(F.try_divide(change * 100, F.abs("first_value")), 2).alias("change_pct"), F.round(change / span, 4).alias("per_year"), F.round(growth * 100, 2).alias("cagr_pct"), trend.alias("trend"),
+    trend = F.when(change > 0, "up").when(change < 0, "down").otherwise("flat")
+    moved = ends.where("points > 1").select(
+        "company_id", "metric_key", "first_year", "last_year", "points", "last_value", F.round(change, 4).alias("change"),
+        F.round(F.try_divide(change * 100, F.abs("first_value")), 1).alias("change_pct"), F.round(change / span, 4).alias("per_year"), F.round(growth, 4).alias("cagr"), trend.alias("trend"),
     )
+    if targets is None:
+        return moved.drop("last_value")
+    aimed = moved.join(targets, ["company_id", "metric_key"])
+    gap = F.col("target_value") - F.col("last_value")
+    need = F.try_divide(gap, F.col("target_year") - F.col("last_year"))
+    polarity = F.expr(X.polarity("metric_key"))
+    on_track = F.when(polarity == "lower_better", F.col("per_year") <= need).when(polarity == "higher_better", F.col("per_year") >= need)
+    return aimed.select("company_id", "metric_key", "trend", "per_year", (F.floor(gap * 1e4 + 0.5) / 1e4).alias("gap"), (F.floor(need * 1e4 + 0.5) / 1e4).alias("required_per_year"), on_track.alias("on_track"))
+
+
+CLASS = ["report_id", "metric_key", "time_bucket", "location_scope", "statement", "value", "unit", "direction"]
+
+
+def conflict_classes(claims: DataFrame) -> DataFrame:
+    """Claims that can be compared, those alike in all that decides a conflict as one class: ``claim_id``, the
+    least of its members, and how many there are."""
+    base = claims.where(f"{MEANINGFUL} AND value_plausible AND coalesce(lower(trim(time_bucket)), '') NOT IN ('', 'unknown_time', 'unknown', 'null', 'none', 'n/a')")
+    base = base.withColumns({"statement": F.expr(f"coalesce({STATEMENT}, '')"), "value": F.col("canonical_value"), "unit": F.expr("coalesce(lower(trim(canonical_unit)), '')"), "direction": F.lower("metric_direction")})
+    return base.groupBy(*CLASS).agg(F.min("claim_id").alias("claim_id"), F.count("*").alias("members"))
 
 
 def numeric_conflicts(claims: DataFrame) -> DataFrame:
-    """Pairs of a report's claims that cannot both hold, each pair once.
+    """Pairs of a report's claim classes that cannot both hold, each pair once, with the members of both.
 
-    Only claims of the same metric, year and statement (digits and signs aside) meet, so a key with many
-    rows does not make all pairs. Values over 5 % apart conflict in the metric (same scope) or by scope;
-    opposite directions in the same scope are a hard conflict if the values do not decide before.
+    Claims of one metric and year in one unit (or an unknown one) are compared. Values over 5 % apart in the
+    same statement (digits and signs aside; a missing one counts as the same) conflict in the metric (same
+    scope) or by scope; unlike statements report unlike things, and the pair is passed over.
+    Where the values do not differ, opposite directions in the same scope are a hard conflict.
     """
-    base = claims.where(f"{MEANINGFUL} AND value_plausible AND time_bucket <> 'unknown_time'").withColumn("statement", F.expr(STATEMENT))
-    keep = ["claim_id", "report_id", "metric_key", "time_bucket", "statement", "location_scope", "canonical_value", "canonical_unit", "metric_direction"]
-    a = base.select(*keep).alias("a")
-    b = base.select(*keep).alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("report_id", "metric_key", "time_bucket", "statement")]
-    pairs = a.join(b, on + [F.col("a.claim_id") < F.col("b.claim_id")])
-    pairs = pairs.where("a.canonical_unit IS NULL OR b.canonical_unit IS NULL OR lower(a.canonical_unit) = lower(b.canonical_unit)")
-    apart = F.expr("abs(a.canonical_value) > 1e-9 AND abs(b.canonical_value) > 1e-9 AND abs(a.canonical_value - b.canonical_value) / greatest(abs(a.canonical_value), abs(b.canonical_value)) > 0.05")
-    same = F.col("a.location_scope") == F.col("b.location_scope")
-    opposite = F.expr("least(a.metric_direction, b.metric_direction) = 'decrease' AND greatest(a.metric_direction, b.metric_direction) = 'increase'") & F.expr("a.metric_direction IS NOT NULL AND b.metric_direction IS NOT NULL")
-    kind = F.when(apart & same, "Metric").when(apart & ~same, "Scope").when(same & opposite, "Hard")
+    c = conflict_classes(claims)
+    a, b = c.alias("a"), c.alias("b")
+    key = "a.report_id = b.report_id AND a.metric_key = b.metric_key AND a.time_bucket = b.time_bucket"
+    unit = "(a.unit = '' OR b.unit = '' OR a.unit = b.unit)"
+    apart = "coalesce(abs(a.value) > 1e-9 AND abs(b.value) > 1e-9 AND abs(a.value - b.value) / greatest(abs(a.value), abs(b.value)) > 0.05, false)"
+    pair = [F.col("a.report_id").alias("report_id"), F.least("a.claim_id", "b.claim_id").alias("claim_a"), F.greatest("a.claim_id", "b.claim_id").alias("claim_b")]
+    pair += [F.when(F.col("a.claim_id") < F.col("b.claim_id"), F.col(f"{x}.members")).otherwise(F.col(f"{y}.members")).alias(f"members_{x}") for x, y in ("ab", "ba")]
+    scope = F.expr("CASE WHEN a.location_scope <=> b.location_scope THEN 'Metric' WHEN a.location_scope <> '' AND b.location_scope <> '' THEN 'Scope' END")
+    said = a.join(b, F.expr(f"{key} AND a.statement = b.statement AND a.statement <> '' AND a.claim_id < b.claim_id AND {unit} AND {apart}"))
+    unsaid = a.where("statement = ''").join(b, F.expr(f"{key} AND (b.statement <> '' OR a.claim_id < b.claim_id) AND {unit} AND {apart}"))
+    turned = a.where("direction = 'increase'").join(b.where("direction = 'decrease'"), F.expr(f"{key} AND a.location_scope <=> b.location_scope AND {unit} AND NOT {apart}"))
+    found = said.select(*pair, scope.alias("conflict")).unionByName(unsaid.select(*pair, scope.alias("conflict"))).unionByName(turned.select(*pair, F.lit("Hard").alias("conflict")))
     severity = F.when(F.col("conflict") == "Metric", "High").when(F.col("conflict") == "Scope", "Low").otherwise("Critical")
-    found = pairs.select(F.col("a.report_id").alias("report_id"), F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), kind.alias("conflict"))
     return found.where("conflict IS NOT NULL").withColumn("severity", severity)
 
 
 def signature_conflicts(claims: DataFrame) -> DataFrame:
-    """Claims of one signature in two reports of a company whose values differ by over 30 % or whose
-    directions are opposite."""
-    base = claims.where(f"{MEANINGFUL} AND canonical_value IS NOT NULL")
-    keep = ["claim_id", "company_id", "claim_signature", "report_id", "page_number", "canonical_value", "metric_direction"]
-    a, b = base.select(*keep).alias("a"), base.select(*keep).alias("b")
-    pairs = a.join(b, F.expr("a.company_id = b.company_id AND a.claim_signature = b.claim_signature AND a.page_number = b.page_number AND a.report_id <> b.report_id AND a.claim_id < b.claim_id"))
-    gap = "abs(a.canonical_value - b.canonical_value) / greatest(abs(a.canonical_value), abs(b.canonical_value), 1e0)"
-    turned = "(a.metric_direction = 'increase' AND b.metric_direction = 'decrease') OR (a.metric_direction = 'decrease' AND b.metric_direction = 'increase')"
-    return pairs.where(f"{gap} > 0.3 OR coalesce({turned}, false)").select(F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b"), F.round(F.expr(gap), 6).alias("gap"))
+    """For every class of claims of one signature, report, value and direction: how many claims of that signature
+    in other reports have the opposite direction, a value over 30 % apart, or either.
+
+    Classes meet by value and direction over all reports; what meets within a report is taken off. So no
+    pairs of claims are made, however many share a signature.
+    """
+    ways = F.expr("CASE WHEN metric_direction IN ('increase', 'increased') THEN 1 WHEN metric_direction IN ('decrease', 'decreased') THEN -1 ELSE 0 END")
+    base = claims.where("claim_signature <> ''").withColumn("way", ways).select("claim_signature", "report_id", "metric_value", "way")
+    own = base.groupBy("claim_signature", "report_id", "metric_value", "way").agg(F.count("*").alias("members"))
+    every = own.groupBy("claim_signature", "metric_value", "way").agg(F.sum("members").alias("members"))
+    turned = "a.way * b.way = -1"
+    apart = "coalesce(abs(a.metric_value - b.metric_value) / greatest(abs(a.metric_value), abs(b.metric_value), 1e0) * 100 > 30, false)"
+    counts = [F.sum(F.expr(f"CASE WHEN {c} THEN b.members ELSE 0 END")).alias(n) for n, c in (("turned", turned), ("apart", apart), ("links", f"({turned}) OR {apart}"))]
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.expr(f"({turned}) OR {apart}")]
+        return left.alias("a").join(right.alias("b"), on).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.metric_value").alias("metric_value"), F.col("a.way").alias("way")).agg(*counts)
+
+    same = lambda x, y, keys: [x[k].eqNullSafe(y[k]) for k in [*keys, "metric_value", "way"]]
+    outer, inner = meet(every, every, ["claim_signature"]), meet(own, own, ["claim_signature", "report_id"])
+    with_all = own.join(outer, same(own, outer, ["claim_signature"])).select(own["*"], "turned", "apart", "links")
+    within = with_all.join(inner, same(with_all, inner, ["claim_signature", "report_id"]), "left")
+    left = [(with_all[n] - F.coalesce(inner[n], F.lit(0))).alias(n) for n in ("turned", "apart", "links")]
+    return within.select(*(with_all[c] for c in ("claim_signature", "report_id", "metric_value", "way", "members")), *left).where("links > 0")
 
 
 def timeline_anomalies(claims: DataFrame) -> DataFrame:
-    """Years in which a company's first figure for an aspect moved against the direction it states."""
-    first = claims.where("canonical_value IS NOT NULL AND time_bucket <> 'unknown_time'").groupBy("company_id", "normalized_aspect", "time_bucket").agg(
-        F.min_by(F.struct("canonical_value", "metric_direction"), "claim_id").alias("f")
-    )
-    years = Window.partitionBy("company_id", "normalized_aspect").orderBy("time_bucket")
-    moved = first.select("company_id", "normalized_aspect", "time_bucket", "f.*").withColumn("before", F.lag("canonical_value").over(years))
-    against = "(metric_direction = 'increase' AND canonical_value < before) OR (metric_direction = 'decrease' AND canonical_value > before)"
-    return moved.where(f"before <> 0 AND ({against})").select("company_id", "normalized_aspect", "time_bucket", "metric_direction")
+    """Report years in which a company's first value for an aspect moved against the direction it states; a
+    zero on either side is passed over."""
+    valued = claims.where("metric_value IS NOT NULL AND company_id IS NOT NULL AND report_year IS NOT NULL AND normalized_aspect <> ''")
+    first = valued.groupBy("company_id", "normalized_aspect", "report_year").agg(F.min_by(F.struct("metric_value", "metric_direction"), "claim_id").alias("f"))
+    years = Window.partitionBy("company_id", "normalized_aspect").orderBy("report_year")
+    moved = first.select("company_id", "normalized_aspect", "report_year", "f.*").withColumns({"before": F.lag("metric_value").over(years), "year_from": F.lag("report_year").over(years)})
+    against = "(metric_direction IN ('increase', 'increased') AND metric_value < before) OR (metric_direction IN ('decrease', 'decreased', 'reduced') AND metric_value > before)"
+    kept = moved.where(f"before <> 0 AND metric_value <> 0 AND ({against})")
+    return kept.select("company_id", "normalized_aspect", "year_from", F.col("report_year").alias("year_to"), F.col("before").alias("value_from"), F.col("metric_value").alias("value_to"), "metric_direction")
 
 
 def claim_flags(claims: DataFrame) -> DataFrame:
@@ -162,7 +204,7 @@ def report_flags(claims: DataFrame, dismissed: DataFrame | None = None, conflict
     heavy = totals.where("total >= 10 AND done > 0 AND promised / done >= 2").select("report_id", F.lit("ASPIRATIONAL_HEAVY").alias("flag"), F.lit("Medium").alias("severity"), F.col("promised").alias("n"), "total")
     out = out.unionByName(gap).unionByName(heavy)
     if conflicts is not None:
-        bad = conflicts.groupBy("report_id").agg(F.count("*").alias("n"), F.bool_or(F.col("severity").isin("Critical", "High")).alias("grave"))
+        bad = conflicts.groupBy("report_id").agg(F.sum(F.col("members_a") * F.col("members_b")).alias("n"), F.bool_or(F.col("severity").isin("Critical", "High")).alias("grave"))
         bad = bad.join(totals.select("report_id", "total"), "report_id")
         out = out.unionByName(bad.select("report_id", F.lit("CONTRADICTION").alias("flag"), F.when(F.col("grave"), "Critical").otherwise("Medium").alias("severity"), "n", "total"))
     return out
@@ -185,14 +227,14 @@ def risk_score(claims: DataFrame, conflicts: DataFrame) -> DataFrame:
     shares = claims.groupBy("report_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("vagueness") >= 0.4).alias("vague"), F.count_if(F.col("claim_type") == "narrative").alias("narrative"), F.count_if(F.col("metric_value").isNull()).alias("missing")
     )
-    joined = shares.join(conflicts.groupBy("report_id").agg(F.count("*").alias("conflicts")), "report_id", "left").fillna(0, ["conflicts"])
+    joined = shares.join(conflicts.groupBy("report_id").agg(F.sum(F.col("members_a") * F.col("members_b")).alias("conflicts")), "report_id", "left").fillna(0, ["conflicts"])
     risk = F.least(F.lit(1.0), (4 * F.col("vague") + 3 * F.col("conflicts") + 2 * F.col("narrative") + F.col("missing")) / (10 * F.col("n")))
     status = F.when(F.col("risk") > 0.6, "High Risk").when(F.col("risk") > 0.3, "Moderate Risk").otherwise("Low Risk")
     return joined.withColumn("risk", risk).select("report_id", "vague", "narrative", "missing", "conflicts", "risk", status.alias("status"))
 
 
 def portfolio(claims: DataFrame, scores: DataFrame) -> DataFrame:
-    """The latest report of each company with its score, best first."""
-    reports = claims.select("company_id", "report_id", "report_year").distinct()
-    latest = reports.groupBy("company_id").agg(F.max_by("report_id", "report_year").alias("report_id"), F.max("report_year").alias("report_year"))
-    return latest.join(scores, "report_id", "left").select("company_id", "report_id", "report_year", "score", "grade").orderBy(F.desc_nulls_last("score"), "company_id")
+    """The latest report of each company with its score; order by score, best first and nulls last, to show it."""
+    reports = claims.groupBy("company_id", "report_id").agg(F.max("report_year").alias("report_year"), F.count("*").alias("claims"))
+    latest = reports.groupBy("company_id").agg(F.max_by(F.struct("report_id", "claims"), F.struct("report_year", "report_id")).alias("r"), F.max("report_year").alias("report_year"))
+    return latest.select("company_id", "r.report_id", "report_year", "r.claims").join(scores.drop("claims"), "report_id", "left")

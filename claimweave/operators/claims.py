@@ -16,7 +16,7 @@ ENRICHED: list[tuple[str, str]] = [
     ("metric_family", X.metric_family("normalized_aspect")),
     ("metric_key", X.metric_key("normalized_aspect", "dimension")),
     ("unit_stem", X.unit_stem("metric_unit")),
-    ("canonical_unit", X.canonical_unit("metric_unit", "unit_stem")),
+    ("canonical_unit", f"CASE WHEN metric_value IS NULL THEN metric_unit ELSE {X.canonical_unit('metric_unit', 'unit_stem')} END"),
     ("canonical_value", f"metric_value * ({X.canonical_factor('metric_unit', 'unit_stem')})"),
     ("value_plausible", X.value_plausible("metric_key", "metric_value")),
     ("claim_signature", "concat_ws('|', metric_key, time_bucket, location_scope)"),
@@ -59,10 +59,11 @@ def value_in_source(value: str, sentence: str):
     return F.coalesce(F.exists(numbers, lambda f: (f == F.col(value)) | ((f != 0) & (F.abs(f - F.col(value)) / F.abs(f) < 1e-9))), F.lit(False))
 
 
-def gate(claims: DataFrame) -> DataFrame:
+def gate(claims: DataFrame, keep_furniture: bool = False) -> DataFrame:
     """Enriched claims through the rule layer: furniture goes, aspect and type are put right, flags say
     what was changed or looks wrong, framework tags name the clauses."""
-    kept = derive(claims, GATED).where("NOT is_furniture")
+    kept = derive(claims, GATED)
+    kept = kept if keep_furniture else kept.where("NOT is_furniture")
     invented = F.when(F.col("metric_value").isNotNull() & (F.col("source_type") != "table") & ~value_in_source("metric_value", "source_sentence"), "value_not_in_source")
     flags = F.array_compact(F.array("aspect_flag", "route_flag", "type_flag", invented, "unit_flag"))
     return kept.withColumns({"quality_flags": flags, "framework_tags": framework_tags("gated_aspect", "source_sentence")})
@@ -86,13 +87,18 @@ def gate_stats(gated: DataFrame, all_claims: DataFrame) -> DataFrame:
 
 
 def gate_workload(gated: DataFrame) -> DataFrame:
-    """By company: shares of claims that were changed, mapped from nothing, or flagged only."""
-    changed = F.exists("quality_flags", lambda f: f.endswith("_fixed"))
-    return gated.groupBy("company_id").agg(
+    """How much the rule layer did, over claims that went through it with furniture kept (see ``gate``)."""
+    changed = lambda a, b: F.count_if(~F.col(a).eqNullSafe(F.col(b)))
+    flagged = F.count_if(F.size("quality_flags") > 0)
+    return gated.agg(
         F.count("*").alias("claims"),
-        F.count_if(changed).alias("changed"),
-        F.count_if((F.col("normalized_aspect") == "uncategorized") & (F.col("gated_aspect") != "uncategorized")).alias("mapped"),
-        F.count_if(~changed & (F.size("quality_flags") > 0)).alias("flagged"),
+        F.count_if((F.lower("aspect") != F.col("normalized_aspect")) & (F.col("normalized_aspect") != "uncategorized")).alias("mapped"),
+        F.count_if(F.col("gated_aspect") == "uncategorized").alias("uncategorized_after"),
+        changed("normalized_aspect", "gated_aspect").alias("aspect_changed"),
+        changed("claim_type", "gated_type").alias("type_changed"),
+        F.count_if("is_furniture").alias("furniture"),
+        flagged.alias("flagged"),
+        F.round(flagged / F.greatest(F.count("*"), F.lit(1)), 6).alias("flag_rate"),
     )
 
 
@@ -107,12 +113,17 @@ def meaningful(claims: DataFrame) -> DataFrame:
     return claims.where("metric_value IS NOT NULL OR time_bucket <> 'unknown_time' OR location_text IS NOT NULL")
 
 
+#: What an older importer took for verbs, and for no unit at all.
+LEGACY_VERBS = "increase|reduce|decrease|maintain|achieve|improve|drop|fall|rise"
+NO_UNIT = "('unspecified', 'none', 'null', '')"
+
+
 def legacy_valid(claims: DataFrame) -> DataFrame:
     """Claims that an older importer let pass: specific, with value and unit, few numbers, with a verb."""
-    numbers = F.regexp_count("source_sentence", F.lit(r"\d[\d,.]*"))
-    words = F.greatest(F.size(F.split(F.trim("source_sentence"), r"\s+")), F.lit(1))
-    verb = F.lower("source_sentence").rlike(r"\b(is|are|was|were|has|have|will|reduced|increased|achieved|fell|rose|reached|aim|invest)\b")
-    return claims.where((F.col("vagueness") < 0.4) & F.col("metric_value").isNotNull() & (F.trim("metric_unit") != "") & (numbers <= 6) & (numbers / words <= 0.5) & verb)
+    numbers = F.regexp_count("source_sentence", F.lit(r"\b\d{1,3}(?:,\d{3})*(?:\.\d+)?\b"))
+    words = F.size(F.filter(F.split("source_sentence", r"\s+"), lambda w: w != ""))
+    kept = claims.where(f"vagueness < 0.4 AND metric_value IS NOT NULL AND lower(coalesce(metric_unit, '')) NOT IN {NO_UNIT}")
+    return kept.where((numbers <= 6) & ((words == 0) | (numbers / words <= 0.5)) & F.lower("source_sentence").rlike(LEGACY_VERBS))
 
 
 def top_per_page(claims: DataFrame, k: int = 5) -> DataFrame:
@@ -122,9 +133,9 @@ def top_per_page(claims: DataFrame, k: int = 5) -> DataFrame:
 
 
 def clean_up(claims: DataFrame) -> DataFrame:
-    """Drop values without unit and very vague claims; an unset scope is global."""
-    kept = claims.where("NOT (metric_value IS NOT NULL AND trim(coalesce(metric_unit, '')) = '') AND coalesce(vagueness, 0) <= 0.8")
-    return kept.withColumn("location_scope", F.coalesce("location_scope", F.lit("global")))
+    """Drop values without unit and very vague claims; an unset scope becomes ``Global``."""
+    kept = claims.where(f"NOT (metric_value IS NOT NULL AND (metric_unit IS NULL OR lower(metric_unit) IN {NO_UNIT})) AND NOT coalesce(vagueness > 0.8, false)")
+    return kept.withColumn("location_scope", F.expr("CASE WHEN coalesce(location_scope, '') = '' THEN 'Global' ELSE location_scope END"))
 
 
 def normalize_aspects(aspects: DataFrame, spark) -> DataFrame:

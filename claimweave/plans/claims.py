@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import vocabulary as V
 from claimweave.operators import claims as C
-from claimweave.plans.dialect import CLAIMS, ENRICH, GATE
-from claimweave.sources.tables import claims
+from claimweave.plans.dialect import CLAIMS, ENRICH, GATE, GATE_ALL, PHRASES
+from claimweave.sources.tables import claims, settled
 
 
 def enriched(spark, d):
-    """Claims with their derived columns, kept: many queries start here, and filters on long derived
-    expressions would otherwise be copied into the scan."""
-    return C.enrich(claims(spark, d)).persist()
+    """Claims with their derived columns; a query computes only those that it reads."""
+    return C.enrich(claims(spark, d))
 
 
 def gated(spark, d):
-    return C.gate(enriched(spark, d)).persist()
+    return C.gate(enriched(spark, d))
 
 
 _enriched, _gated = enriched, gated
@@ -44,12 +43,12 @@ def tags(spark, d):
 
 
 def gate_stats(spark, d):
-    e = _enriched(spark, d)
+    e = settled(_enriched(spark, d))
     return C.gate_stats(C.gate(e), e)
 
 
 def gate_workload(spark, d):
-    return C.gate_workload(_gated(spark, d))
+    return C.gate_workload(C.gate(_enriched(spark, d), keep_furniture=True))
 
 
 def dedup(spark, d):
@@ -62,8 +61,6 @@ def normalize_aspect(spark, d):
 
 
 _TAGS = "CASE gated_aspect " + " ".join(f"WHEN '{n}' THEN [{', '.join(repr(t) for t in ts)}]" for n, ts in V.FRAMEWORKS.items()) + " ELSE [] END"
-_PHRASES = "(VALUES " + ", ".join(f"({i}, '{n}', '{p}')" for i, (n, ps) in enumerate(V.TAXONOMY.items()) for p in ps) + ") AS t(place, node, phrase)"
-_FLAGGED = "len(list_filter(quality_flags, lambda f: f LIKE '%\\_fixed' ESCAPE '\\')) > 0"
 
 QUERIES = {
     "metric_family": _pick(_enriched, "claim_id", "metric_family"),
@@ -94,12 +91,15 @@ QUERIES = {
     "cleanup": lambda s, d: C.clean_up(_enriched(s, d)).select("claim_id", "location_scope"),
     "backfill_observability": lambda s, d: _enriched(s, d).withColumn("old", F.expr("CASE WHEN claim_id % 3 = 0 THEN NULL ELSE 'kept' END")).select("claim_id", F.coalesce("old", "observability").alias("observability")),
     "normalize_aspect": normalize_aspect,
-    "claims_scan": lambda s, d: _enriched(s, d).orderBy(F.desc("groundability"), "claim_id").select("claim_id", "groundability", "metric_key"),
+    "claims_scan": _pick(_enriched, "claim_id", "groundability", "metric_key"),
     "regate": lambda s, d: _gated(s, d).select("claim_id", "report_id", "gated_key", "gated_type"),
 }
 
 from claimweave.plans.dialect import portable as _p  # noqa: E402
 
+#: Clauses of each gated claim's node, and those that its sentence names.
+KNOWN_TAGS = f"SELECT claim_id, {_TAGS} AS known, list_transform(regexp_extract_all(source_sentence, '{V.CLAUSE_CODE}', 1), lambda c: 'GRI ' || c) AS codes FROM gated"
+
 ORACLES = {
     "metric_family": _simple(ENRICH, "enriched", ["claim_id", "metric_family"]),
     "unit_dimension": _simple(ENRICH, "enriched", ["claim_id", "dimension"]),
@@ -119,19 +119,24 @@ ORACLES = {
     "gate_type": _simple(GATE, "gated", ["claim_id", "gated_type", "type_flag"]),
     "value_in_source": _simple(CLAIMS, "claims", ["claim_id", r"list_contains(list_transform(regexp_extract_all(source_sentence, '\d[\d,]*(?:\.\d+)?'), lambda t: CAST(replace(t, ',', '') AS DOUBLE)), metric_value) AS found"], "metric_value IS NOT NULL"),
     "gate_flags": _simple(GATE, "gated", ["claim_id", "array_to_string(quality_flags, ',') AS flags"]),
-    "framework_tags": f"""WITH {GATE}, t AS (SELECT claim_id, {_TAGS} AS known, list_transform(regexp_extract_all(source_sentence, '{V.CLAUSE_CODE}', 1), lambda c: 'GRI ' || c) AS codes FROM gated)
+    "framework_tags": f"""WITH {GATE}, t AS ({KNOWN_TAGS})
         SELECT claim_id, array_to_string(list_concat(known, list_filter(codes, lambda c: NOT list_contains(known, c))), ',') AS tags FROM t""",
     "gate_stats": f"WITH {GATE} SELECT flag, count(*) AS n FROM (SELECT unnest(quality_flags) AS flag FROM gated) GROUP BY flag UNION ALL SELECT 'furniture_dropped', count(*) FROM ruled_claims WHERE is_furniture",
-    "gate_workload": f"""WITH {GATE} SELECT company_id, count(*) AS claims, count(*) FILTER ({_FLAGGED}) AS changed,
-        count(*) FILTER (normalized_aspect = 'uncategorized' AND gated_aspect <> 'uncategorized') AS mapped, count(*) FILTER (NOT ({_FLAGGED}) AND len(quality_flags) > 0) AS flagged FROM gated GROUP BY company_id""",
+    "gate_workload": f"""WITH {GATE_ALL} SELECT count(*) AS claims, count(*) FILTER (lower(aspect) <> normalized_aspect AND normalized_aspect <> 'uncategorized') AS mapped,
+        count(*) FILTER (gated_aspect = 'uncategorized') AS uncategorized_after, count(*) FILTER (gated_aspect IS DISTINCT FROM normalized_aspect) AS aspect_changed, count(*) FILTER (gated_type IS DISTINCT FROM claim_type) AS type_changed,
+        count(*) FILTER (is_furniture) AS furniture, count(*) FILTER (len(quality_flags) > 0) AS flagged, round(count(*) FILTER (len(quality_flags) > 0) / greatest(count(*), 1), 6) AS flag_rate FROM gated""",
     "dedup": f"WITH {CLAIMS} SELECT min(claim_id) AS claim_id, report_id FROM claims GROUP BY report_id, lower(aspect), lower(action), metric_value, page_number",
     "meaningful": _simple(CLAIMS, "claims", ["claim_id"], "metric_value IS NOT NULL OR time_bucket <> 'unknown_time' OR location_text IS NOT NULL"),
-    "validate_legacy": _simple(ENRICH, "enriched", ["claim_id"], r"vagueness < 0.4 AND metric_value IS NOT NULL AND trim(metric_unit) <> '' AND len(regexp_extract_all(source_sentence, '\d[\d,.]*')) <= 6 AND len(regexp_extract_all(source_sentence, '\d[\d,.]*')) / len(string_split(trim(source_sentence), ' ')) <= 0.5 AND regexp_matches(lower(source_sentence), '\b(is|are|was|were|has|have|will|reduced|increased|achieved|fell|rose|reached|aim|invest)\b')"),
+    "validate_legacy": f"""WITH {ENRICH}, n AS (SELECT *, len(regexp_extract_all(source_sentence, '\\b\\d{{1,3}}(?:,\\d{{3}})*(?:\\.\\d+)?\\b')) AS numbers, len(list_filter(string_split_regex(source_sentence, '\\s+'), lambda w: w <> '')) AS words FROM enriched)
+        SELECT claim_id FROM n WHERE vagueness < 0.4 AND metric_value IS NOT NULL AND lower(metric_unit) NOT IN ('unspecified', 'none', 'null', '') AND numbers <= 6 AND (words = 0 OR numbers <= words * 0.5)
+            AND (source_sentence ILIKE '%increase%' OR source_sentence ILIKE '%reduce%' OR source_sentence ILIKE '%decrease%' OR source_sentence ILIKE '%maintain%' OR source_sentence ILIKE '%achieve%'
+                OR source_sentence ILIKE '%improve%' OR source_sentence ILIKE '%drop%' OR source_sentence ILIKE '%fall%' OR source_sentence ILIKE '%rise%')""",
     "top5_per_chunk": f"WITH {ENRICH}, r AS (SELECT claim_id, CAST(row_number() OVER (PARTITION BY report_id, page_number ORDER BY groundability DESC, claim_id) AS INTEGER) AS place FROM enriched) SELECT * FROM r WHERE place <= 5",
-    "cleanup": _simple(ENRICH, "enriched", ["claim_id", "location_scope"], "NOT (metric_value IS NOT NULL AND metric_unit = '') AND vagueness <= 0.8"),
+    "cleanup": f"""WITH {ENRICH} SELECT claim_id, coalesce(nullif(location_scope, ''), 'Global') AS location_scope FROM enriched
+        WHERE (metric_value IS NULL OR coalesce(lower(metric_unit), 'none') NOT IN ('unspecified', 'none', 'null', '')) AND coalesce(vagueness, 0) <= 0.8""",
     "backfill_observability": _simple(ENRICH, "enriched", ["claim_id", "CASE WHEN claim_id % 3 = 0 THEN observability ELSE 'kept' END AS observability"]),
     "normalize_aspect": f"""WITH {CLAIMS}, m AS (SELECT a.aspect, t.node, t.place, CASE WHEN lower(trim(a.aspect)) = phrase THEN 0 WHEN regexp_matches(lower(trim(a.aspect)), '\\b' || regexp_escape(phrase) || '\\b') THEN 1
-            WHEN regexp_matches(phrase, '\\b' || regexp_escape(lower(trim(a.aspect))) || '\\b') THEN 2 END AS kind, length(phrase) AS n FROM (SELECT DISTINCT aspect FROM claims) AS a, {_PHRASES}),
+            WHEN regexp_matches(phrase, '\\b' || regexp_escape(lower(trim(a.aspect))) || '\\b') THEN 2 END AS kind, length(phrase) AS n FROM (SELECT DISTINCT aspect FROM claims) AS a, {PHRASES}),
         b AS (SELECT aspect, node, row_number() OVER (PARTITION BY aspect ORDER BY kind, CASE kind WHEN 1 THEN -n WHEN 2 THEN n ELSE 0 END, place) AS r FROM m WHERE kind IS NOT NULL)
         SELECT claim_id, coalesce(node, 'uncategorized') AS node FROM claims LEFT JOIN b ON claims.aspect = b.aspect AND r = 1""",
     "claims_scan": _simple(ENRICH, "enriched", ["claim_id", "groundability", "metric_key"]),
