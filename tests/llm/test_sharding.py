@@ -21,6 +21,21 @@ def test_matrix_has_exact_margins_and_the_right_law():
     assert abs(np.var(first) - np.var(rng.hypergeometric(6, 10, 9, 100000))) < 0.1
 
 
+def test_wide_draws_have_the_exact_law():
+    """Counts of many draws against binomial coefficients, and moments of a population beyond numpy's bound."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    good, bad, n = 9, 14, 11
+    seen = Counter(S._wide_draw(rng, good, bad, n) for _ in range(40000))
+    law = {k: comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)}
+    assert set(seen) <= set(law) and sum((seen[k] - 40000 * p) ** 2 / (40000 * p) for k, p in law.items()) < 30
+    good, bad, n = 3 * 10**11, 7 * 10**11, 10**10
+    draws = np.array([S._wide_draw(rng, good, bad, n) for _ in range(100)], float)
+    spread = (n * 0.3 * 0.7 * (1 - n / (good + bad))) ** 0.5
+    assert abs(draws.mean() - 0.3 * n) < 4 * spread / 100**0.5 and abs(draws.std() / spread - 1) < 0.3
+
+
 def test_large_populations():
     m = S.communication_matrix([4 * 10**9, 6 * 10**9], S.shard_sizes(10**10, 7), 1)
     assert m.sum(axis=1).tolist() == [4 * 10**9, 6 * 10**9] and m.sum(axis=0).tolist() == S.shard_sizes(10**10, 7)
