@@ -12,12 +12,12 @@ from claimweave.llm.common import cut, small
 
 #: (host, path, verdict). A rule fits its host and every subdomain where the path starts with its path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: A mined rule needs this share of the labelled URLs to hold its tokens and the block label, this share
-#: of the URLs with its tokens to be blocked, and this much more than of all URLs.
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
-#: Tokens of a mined rule at most.
-LENGTH = 3
-_BLOCK = "\nblock"
+#: A mined rule needs this share of the labelled URLs, and so many of them, to hold its tokens and its label, this
+#: share of the URLs with its tokens to have the label, and this much more than of all URLs.
+SUPPORT, LEAST_URLS, CONFIDENCE, LIFT = 0.002, 20, 0.6, 1.5
+#: Tokens of more than this share of the labelled URLs say nothing and only multiply the frequent sets.
+CONSTANT = 0.9
+_LABEL = "\nlabel="
 
 
 def host_of(url: Column) -> Column:
@@ -63,39 +63,40 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 @dataclass
 class RuleIndex:
-    """Mined rules by their rarest token: (token, need, confidence), ``need`` being all of its tokens."""
+    """Mined rules by their rarest token: (token, need, verdict, confidence), ``need`` being all of its tokens."""
 
     rules: DataFrame
     count: int
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> RuleIndex:
-    """Rules tokens -> block from ``labelled`` (tokens, blocked), all rows of it, by FP-growth.
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_URLS) -> RuleIndex:
+    """Rules tokens -> block and tokens -> allow from ``labelled`` (tokens, blocked), all rows of it, by FP-growth.
 
-    Of the frequent token sets with the block label, those of enough confidence and lift stay, and of
-    those only the ones that no subset with as much confidence covers. Rows whose label is null are
+    Of the frequent token sets with a label, those of enough confidence and lift stay, and of those only the
+    ones that no subset with as much confidence for the same label covers. Rows whose label is null are
     passed over; without a blocked row there are no rules.
     """
     rows = labelled.where("blocked IS NOT NULL AND size(tokens) > 0")
     sums = rows.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("k")).first()
     spark = labelled.sparkSession
-    schema = "token string, need array<string>, confidence double"
     if not sums["k"]:
-        return RuleIndex(spark.createDataFrame([], schema), 0)
-    baskets = rows.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    mined = model.associationRules.where(F.expr(f"consequent[0] = '{_BLOCK}'") & (F.size("antecedent") <= LENGTH))
-    mined = mined.where(F.col("lift") >= lift).select(F.array_sort("antecedent").alias("need"), "confidence")
-    mined = cut(mined)
-    wide = mined.select(F.col("need").alias("wide"), F.col("confidence").alias("c"), F.explode("need").alias("t"))
-    slim = mined.select("need", "confidence", F.explode("need").alias("t"))
+        return RuleIndex(spark.createDataFrame([], "token string, need array<string>, verdict string, confidence double"), 0)
+    often = cut(rows.select(F.explode("tokens").alias("token")).groupBy("token").count())
+    constant = [r["token"] for r in often.where(F.col("count") > CONSTANT * sums["n"]).select("token").collect()]  # each row has few tokens, so few are so common
+    telling = F.array_except("tokens", F.array(*map(F.lit, constant)).cast("array<string>"))
+    label = F.concat(F.lit(_LABEL), F.when(F.col("blocked"), "block").otherwise("allow"))
+    baskets = rows.select(F.concat(telling, F.array(label)).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, min(1.0, least / sums["n"])), minConfidence=confidence).fit(baskets)
+    mined = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & (F.col("lift") >= lift))
+    mined = cut(mined.select(F.array_sort("antecedent").alias("need"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence"))
+    wide = mined.select(F.col("need").alias("wide"), "verdict", F.col("confidence").alias("c"), F.explode("need").alias("t"))
+    slim = mined.select("need", "verdict", "confidence", F.explode("need").alias("t"))
     covered = (
-        wide.join(slim, "t").where("size(need) < size(wide) AND confidence >= c AND size(array_except(need, wide)) = 0").select(F.col("wide").alias("need")).distinct()
+        wide.join(slim, ["t", "verdict"]).where("size(need) < size(wide) AND confidence >= c AND size(array_except(need, wide)) = 0").select(F.col("wide").alias("need"), "verdict").distinct()
     )
-    useful = mined.join(covered, "need", "left_anti")
-    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    ranked = useful.select("need", "confidence", F.explode("need").alias("token")).join(often, "token")
-    index = cut(ranked.groupBy("need", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")).select("token", "need", "confidence"))
+    useful = mined.join(covered, ["need", "verdict"], "left_anti")
+    ranked = useful.select("need", "verdict", "confidence", F.explode("need").alias("token")).join(often, "token")
+    index = cut(ranked.groupBy("need", "verdict", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token")).select("token", "need", "verdict", "confidence"))
     return RuleIndex(index, index.count())
 
 
@@ -103,10 +104,10 @@ def judge(pages: DataFrame, index: RuleIndex, id_col: str = "page_id", url: str
     """``pages`` with ``__host``, ``__path``, ``__rule`` (of the fixed ones, else null), ``__score`` and
     ``__verdict`` (allow or block).
 
-    The longest fixed rule decides. Where none fits, a url is blocked if a mined rule's tokens are all
-    among its own: its distinct tokens are looked up in the index by rarest token and only the rules found
-    there are compared. ``__score`` is the highest confidence of a matching rule, 0 without one. Null,
-    empty and malformed urls have no tokens and are allowed. Rows stay, repeated ones included; other
+    The longest fixed rule decides. Where none fits, the mined rule of highest confidence does (block among equals)
+    whose tokens are all among the url's: its distinct tokens are looked up in the index by rarest token and
+    only the rules found there are compared. ``__score`` is that confidence, 0 without a rule. Without any
+    rule a url is allowed; null, empty and malformed urls have no tokens. Rows stay, repeated ones included; other
     columns pass through.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
@@ -114,14 +115,13 @@ def judge(pages: DataFrame, index: RuleIndex, id_col: str = "page_id", url: str
     distinct = parsed.where("__fixed IS NULL AND __host <> ''").select(F.col(url).alias("__u"), "__host", "__path").distinct()
     mine_of = distinct.select("__u", tokens_of(F.col("__u"), F.col("__host"), F.col("__path")).alias("tokens"))
     hits = mine_of.select("__u", "tokens", F.explode("tokens").alias("token")).join(small(index.rules, index.count), "token")
-    best = hits.where("size(array_except(need, tokens)) = 0").groupBy("__u").agg(F.max("confidence").alias("__score"))
+    best = hits.where("size(array_except(need, tokens)) = 0").groupBy("__u").agg(F.max(F.struct("confidence", "verdict")).alias("__best"))
     joined = parsed.join(best, F.col(url) == F.col("__u"), "left").drop("__u")
-    found = F.when(F.col("__score").isNotNull(), "block").otherwise("allow")
     return joined.select(
         *pages.columns,
         "__host",
         "__path",
         F.col("__fixed.rule").alias("__rule"),
-        F.coalesce("__score", F.lit(0.0)).alias("__score"),
-        F.coalesce(F.col("__fixed.verdict"), found).alias("__verdict"),
+        F.coalesce("__best.confidence", F.lit(0.0)).alias("__score"),
+        F.coalesce("__fixed.verdict", "__best.verdict", F.lit("allow")).alias("__verdict"),
     )
