@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small_batches
+from claimweave.llm.common import held_model, small_batches
 
 #: A task remembers words and prefixes of words, of up to RUN_CHARS, and which tokens fit each other. Of
 #: words the last RUNS met and those of RUNS before them stay; prefixes and pairs go at so many. Everything
@@ -266,16 +266,9 @@ class Bpe:
         return "" if ids is None else " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-#: Encoders of this process by broadcast: vocabularies only, what they remember of texts is emptied.
-_HELD: dict[int, Bpe] = {}
-
-
 def _bpe(held) -> Bpe:
-    """The encoder of a broadcast, made once in a process and alone in it."""
-    if held.value[0] not in _HELD:
-        _HELD.clear()
-        _HELD[held.value[0]] = Bpe(held.value[1])
-    return _HELD[held.value[0]]
+    """The encoder of a broadcast, alone in its worker."""
+    return held_model(("bpe", held.value[0]), lambda: Bpe(held.value[1]))
 
 
 def _shipped(df: DataFrame, path: str):

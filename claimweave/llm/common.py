@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_key(text: str | Column = "text") -> Column:
     """64-bit hash of a text, null-safe; with the id it names a row, fully repeated rows alike."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+#: The one model that this Python worker holds, by name.
+_HELD: dict[Hashable, object] = {}
+
+
+def held_model(name: Hashable, make: Callable[[], object]):
+    """The named model, made once in a worker; it takes the place of any other, for workers outlive their tasks."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release_models() -> None:
+    """Drop the model that an earlier stage left in this worker."""
+    _HELD.clear()

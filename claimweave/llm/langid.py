@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small_batches
+from claimweave.llm.common import held_model, small_batches
 
-#: The bound of the labelled sample: texts per language, and letters and spaces taken from each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 64, 640
-#: Phrases end at multiples of this many symbols, so that long texts are parsed side by side.
+#: The bound of the labelled sample: texts per language, each taken whole.
+SAMPLE_TEXTS = 24
+#: Texts are parsed side by side in blocks of so many symbols, which are then stitched together.
 BLOCK = 512
 UNDETERMINED = "und"
 _SPACE, _OTHER = 0, 1
@@ -75,7 +75,7 @@ class CrossParser:
 
     An entry is the next state; where the phrase so far cannot be extended it is the bitwise
     complement of the state in which the next phrase stands after this symbol. The last state, where
-    every block starts, can extend nothing; a symbol that the sample lacks leads back to it.
+    every text starts, can extend nothing; a symbol that the sample lacks leads back to it.
     """
 
     def __init__(self, samples: dict[str, str]) -> None:
@@ -100,7 +100,12 @@ class CrossParser:
         return table.ravel()
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits a symbol, texts x languages), (whether a text has a letter)."""
+        """(bits a symbol, texts x languages), (whether a text has a letter).
+
+        Every block is parsed as if a phrase began with it. Then the phrase that runs over the end of a block is
+        followed into the next one until a phrase begins where one of that block begins too; from there on
+        both are the same. So the count is that of the whole text parsed from its start.
+        """
         symbols = [self.symbol[_plain(t or "")] for t in texts]
         sizes = np.array([len(s) for s in symbols], np.int64)
         owner, start, length = [], [], []
@@ -115,21 +120,55 @@ class CrossParser:
             grid[: length[j], k] = symbols[owner[j]][start[j] : start[j] + length[j]]
         owners = np.array(owner, np.int64)[order]
         lengths = np.array(length, np.int64)[order]
+        column = np.empty(len(order), np.int64)
+        column[order] = np.arange(len(order))
+        ahead = np.array([j for j in range(len(owner) - 1) if owner[j + 1] == owner[j]], np.int64)
+        goes_on = np.zeros(len(order), bool)
+        goes_on[column[ahead]] = True
         active = [int(n) for n in np.searchsorted(-lengths, -np.arange(BLOCK), side="left")]
         out = np.zeros((len(texts), len(self.langs)))
         for k, (table, bits) in enumerate(zip(self.tables, self.bits, strict=True)):
-            state, phrases = np.full(len(order), len(table) // self.width - 1, np.int32), np.zeros(len(order), np.int32)
+            state, phrases = np.full(len(order), len(table) // self.width - 1, np.int32), np.zeros(len(order), np.int64)
+            begins = np.zeros((BLOCK, len(order)), bool)
             for t in range(BLOCK):
                 n = active[t]
                 if not n:
                     break
                 to = table.take(state[:n] * self.width + grid[t, :n])
                 ended = to >> 31
+                begins[t, :n] = ended != 0
                 phrases[:n] -= ended
                 state[:n] = to ^ ended
-            out[:, k] = np.bincount(owners, phrases, len(texts)) * bits / np.maximum(sizes, 1)
+            into, running = column[ahead + 1], state[column[ahead]]
+            apart = np.zeros(len(texts), bool)
+            for t in range(BLOCK):
+                over = t >= lengths[into]
+                apart[owners[into[over & goes_on[into]]]] = True
+                into, running = into[~over], running[~over]
+                if not len(into):
+                    break
+                to = table.take(running * self.width + grid[t, into])
+                ended = to >> 31
+                own = begins[t, into]
+                np.add.at(phrases, into, (ended != 0).astype(np.int64) - own)
+                stay = ~((ended != 0) & own)
+                into, running = into[stay], (to ^ ended)[stay]
+            apart[owners[into[goes_on[into]]]] = True
+            counts = np.bincount(owners, phrases, len(texts))
+            for i in np.flatnonzero(apart).tolist():
+                counts[i] = self._phrases(table, symbols[i])
+            out[:, k] = counts * bits / np.maximum(sizes, 1)
         return out, np.array([bool((s != _SPACE).any()) for s in symbols], bool)
 
+    def _phrases(self, table: np.ndarray, symbols: np.ndarray) -> int:
+        """Phrases of a whole text, symbol by symbol."""
+        state, count, item, width = len(table) // self.width - 1, 0, table.item, self.width
+        for c in symbols.tolist():
+            state = item(state * width + c)
+            if state < 0:
+                state, count = ~state, count + 1
+        return count
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of fewest normalised phrases, the first in order of name among equals, and
         how much fewer they are than the runner-up's, as a share (1 if there is one language)."""
@@ -147,9 +186,9 @@ class CrossParser:
 
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Up to SAMPLE_TEXTS distinct texts of each language, SAMPLE_CHARS of each, from documents that
-    are not held out: the id of least hash in each of SAMPLE_TEXTS buckets, so the choice does not
-    depend on how rows are partitioned. Only this bounded sample reaches the driver."""
+    """Up to SAMPLE_TEXTS distinct whole texts of each language from documents that are not held out: the id of
+    least hash in each of SAMPLE_TEXTS buckets, so the choice does not depend on how rows are
+    partitioned. Only this bounded sample of rows reaches the driver."""
     ids = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"))
     hashed = ids.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).withColumn("h", F.xxhash64("id"))
     chosen = (
@@ -167,18 +206,10 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found: dict[str, dict[str, None]] = {}
     for r in texts.orderBy("id", "lang").toLocalIterator():
         if of_id[r["id"]] == r["lang"]:
-            plain = _plain(r["text"])
-            at = (len(plain) - SAMPLE_CHARS) // 2 if len(plain) > SAMPLE_CHARS else 0
-            part = plain[at : at + SAMPLE_CHARS].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
-            found.setdefault(r["lang"], {})[part] = None
+            found.setdefault(r["lang"], {})[_plain(r["text"]).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")] = None
     return {k: " ".join(v) for k, v in found.items() if any(x.strip() for x in v)}
 
 
-@functools.lru_cache(2)
-def _parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(dict(samples))
-
-
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", out: str = "__lang") -> DataFrame:
     """``docs`` with a struct ``out`` of ``lang_pred`` and ``score`` (0 to 1) from the whole text.
 
@@ -193,7 +224,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", out:
 
     @F.pandas_udf("lang_pred string, score double")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = _parser(held)
+        parser = held_model(("langid", held), lambda: CrossParser(dict(held)))
         for texts in batches:
             langs, scores = parser.predict(texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
