@@ -16,7 +16,8 @@ TRAIN_ROWS, FEATURES = 20_000, 4096
 LEAST_ROWS = 8
 #: A domain's share of documents with a feature is drawn to the overall share, as by so many documents.
 SHRINK = 10.0
-STEPS, TOLERANCE = 25, 1e-7
+#: Steps of the fit at most, the gap that counts as none, and the least share that a step must take off the gap.
+STEPS, TOLERANCE, PROGRESS = 80, 1e-7, 1e-6
 _SPAN = 1 << 20
 
 
@@ -94,28 +95,41 @@ def fit_rates(members: DataFrame, targets: list[float], least: Column | None = N
     """The rate column for ``members`` (rows, n_tokens, p0, ...): projected gradient steps from 1.
 
     The least-squares gap between expected domain tokens (rows x tokens x probability x rate, summed)
-    and ``targets`` is reduced; each step moves a rate along its probabilities, scaled by the Gram
-    matrix of the texts with a positive rate, and is cut off at zero. A step is one aggregation over
-    the data; the driver sees the few sums only. If ``least`` gives each text a rate that it may not
-    fall below, steps are cut off there and scaled by the Gram matrix of all texts, so the gap never grows.
+    and ``targets`` is reduced; each step moves a rate along its probabilities and is cut off at zero (or at
+    ``least``, the rate that a text may not fall below). A step is first scaled by the Gram matrix of the
+    texts that can still move, as Newton's method would (with floors, of all texts); where that did not lower the gap, the plain gradient step
+    from the same place follows, short enough (the Gram matrix's largest eigenvalue) to be sure to.
+    The fit ends where nothing is left of the gap or no sure step lowers it, which then is the least
+    possible. A step is one aggregation over the data; the driver sees the few sums only. A fit that
+    does not end within STEPS is an error.
     """
     k = range(len(targets))
     goal = np.array(targets)
-    rate = F.lit(1.0)
+    floor = F.lit(0.0) if least is None else least
+    rate, best, sure = F.lit(1.0), None, False
     for _ in range(STEPS):
-        at = members.withColumn("rate", rate).withColumn("mass", F.col("rows") * F.col("n_tokens"))
+        at = members.withColumn("rate", rate).withColumn("floor", floor).withColumn("mass", F.col("rows") * F.col("n_tokens"))
         live = F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0) if least is None else F.col("mass")
         sums = [F.sum(F.col("mass") * F.col(f"p{i}") * F.col("rate")).alias(f"t{i}") for i in k]
-        gram = [F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in k for j in k]
+        gram = [F.sum(m * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"{n}{i}_{j}") for n, m in (("g", live), ("h", F.col("mass"))) for i in k for j in k]
         row = at.agg(*sums, *gram).first()
         gap = np.array([row[f"t{i}"] or 0.0 for i in k]) - goal
         if np.abs(gap).max() <= TOLERANCE * max(goal.sum(), 1.0):
-            break
-        matrix = np.array([[row[f"g{i}_{j}"] or 0.0 for j in k] for i in k])
-        matrix += np.eye(len(targets)) * max(1e-9 * np.trace(matrix), 1e-9)
-        step = np.linalg.solve(matrix, gap)
-        rate = F.greatest(F.lit(0.0) if least is None else least, rate - sum((F.col(f"p{i}") * F.lit(float(step[i])) for i in k), F.lit(0.0)))
-    return rate
+            return rate
+        free, whole = (np.array([[row[f"{n}{i}_{j}"] or 0.0 for j in k] for i in k]) for n in "gh")
+        if best is not None and gap @ gap >= best[1] @ best[1] * (1 - PROGRESS):
+            if sure:
+                return best[0]
+            rate, gap, whole = best
+            sure = True
+        else:
+            best, sure = (rate, gap, whole), False
+        if sure:
+            step = gap / max(np.linalg.eigvalsh(whole)[-1], 1e-9)
+        else:
+            step = np.linalg.solve(free + np.eye(len(targets)) * max(1e-9 * np.trace(whole), 1e-9), gap)
+        rate = F.greatest(floor, rate - sum((F.col(f"p{i}") * F.lit(float(step[i])) for i in k), F.lit(0.0)))
+    raise RuntimeError(f"the rates did not settle in {STEPS} steps")
 
 
 def mix(

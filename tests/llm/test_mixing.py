@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.llm import mixing as M
@@ -61,3 +62,22 @@ def test_odd_rows(spark):
     assert len(got) == 6 and all(r["__rate"] >= 0 and r["__copies"] >= 0 for r in got)
     assert sorted(r["__n_tokens"] for r in got) == [0, 0, 0, 3, 3, 60000]
     assert M.mix(docs.where("doc_id > 9"), M.train(docs, labels.where("false"), ["a", "b"]), {"a": 1, "b": 1}).count() == 0
+
+
+def test_a_target_out_of_reach_is_met_as_far_as_it_goes(spark, monkeypatch):
+    """All texts lean to one domain, so the other's target cannot be met: the fit ends at the least gap, which a
+    plain projected gradient finds too; with too few steps it is an error."""
+    p = np.array([[0.9, 0.1], [0.8, 0.2], [0.7, 0.3]])
+    n = np.array([10, 20, 30])
+    members = spark.createDataFrame([(1, int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "rows long, n_tokens long, p0 double, p1 double")
+    goal = np.array([5.0, 60.0])
+    r = np.array([x[0] for x in members.select(M.fit_rates(members, goal.tolist())).collect()])
+    slow = np.ones(3)
+    gram = (p * n[:, None]).T @ p
+    for _ in range(50000):
+        slow = np.maximum(0, slow - p @ ((n * slow) @ p - goal) / np.linalg.eigvalsh(gram)[-1])
+    gap = lambda x: np.linalg.norm((n * x) @ p - goal)
+    assert gap(r) <= gap(slow) * 1.01 + 1e-9
+    monkeypatch.setattr(M, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        M.fit_rates(members, goal.tolist())
