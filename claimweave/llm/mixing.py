@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ LEAST_ROWS = 8
 #: A domain's share of documents with a feature is drawn to the overall share, as by so many documents.
 SHRINK = 10.0
 #: Steps of the fit at most, the gap that counts as none, and the least share that a step must take off the gap.
-STEPS, TOLERANCE, PROGRESS = 80, 1e-7, 1e-6
+STEPS, TOLERANCE, PROGRESS = 30, 1e-7, 1e-4
 _SPAN = 1 << 20
 
 
@@ -100,8 +101,8 @@ def fit_rates(members: DataFrame, targets: list[float], least: Column | None = N
     texts that can still move, as Newton's method would (with floors, of all texts); where that did not lower the gap, the plain gradient step
     from the same place follows, short enough (the Gram matrix's largest eigenvalue) to be sure to.
     The fit ends where nothing is left of the gap or no sure step lowers it, which then is the least
-    possible. A step is one aggregation over the data; the driver sees the few sums only. A fit that
-    does not end within STEPS is an error.
+    possible. A step is one aggregation over the data; the driver sees the few sums only. Where a fit does
+    not end within STEPS, the best rates so far are returned and a warning says how far off they are.
     """
     k = range(len(targets))
     goal = np.array(targets)
@@ -129,7 +130,9 @@ def fit_rates(members: DataFrame, targets: list[float], least: Column | None = N
         else:
             step = np.linalg.solve(free + np.eye(len(targets)) * max(1e-9 * np.trace(whole), 1e-9), gap)
         rate = F.greatest(floor, rate - sum((F.col(f"p{i}") * F.lit(float(step[i])) for i in k), F.lit(0.0)))
-    raise RuntimeError(f"the rates did not settle in {STEPS} steps")
+    left = np.abs(best[1]).max() / max(goal.sum(), 1.0)
+    warnings.warn(f"the rates did not settle in {STEPS} steps: a domain misses its target by {left:.2%} of all tokens", stacklevel=2)
+    return best[0]
 
 
 def mix(
