@@ -1 +1 @@
-"""Structured Streaming jobs."""
+"""Claims that arrive as files, and events by time."""
