@@ -14,6 +14,7 @@ from claimweave.llm.exact_topk import exact_topk
 from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
+from claimweave.llm.packing import pack
 from claimweave.llm.secrets import example_findings, scan
 from claimweave.llm.secrets import train as forest_of
 from claimweave.llm.sharding import shuffle_to_shards
@@ -112,13 +113,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "__lang.lang_pred", "__lang.score")
 
 
-def vocabulary() -> str:
-    """Place of the tokenizer file, from the environment or the package of public tokenizers."""
-    if found := os.environ.get("WORD_BPE_FILE"):
+def vocabulary(variable: str = "WORD_BPE_FILE", name: str = "word_bpe_49k.json") -> str:
+    """Place of a tokenizer file, from the environment or the package of public tokenizers."""
+    if found := os.environ.get(variable):
         return found
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of up to 1,024 tokens."""
+    found = pack(read(spark, sf_dir, "documents"), vocabulary("BYTE_BPE_FILE", "byte_bpe_50k.json"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.col("__piece").alias("piece"),
+        F.col("__start").alias("start"),
+        (F.octet_length("__ids") / 4).cast("long").alias("length"),
+        F.crc32("__ids").alias("ids_crc32"),
+        F.col("__sequence").alias("sequence_id"),
+        F.col("__offset").alias("offset"),
+    )
+
+
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id, "op11_packing": op11_packing}
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
