@@ -15,6 +15,7 @@ from claimweave.llm.langid import held_out, identify, labelled_sample
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
 from claimweave.llm.packing import pack
+from claimweave.llm.phrases import collocations
 from claimweave.llm.secrets import example_findings, scan
 from claimweave.llm.secrets import train as forest_of
 from claimweave.llm.sharding import shuffle_to_shards
@@ -148,7 +149,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id, "op11_packing": op11_packing}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of two or three words in each language whose weakest cut scores highest."""
+    return collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id, "op11_packing": op11_packing, "op12_phrases": op12_phrases}
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
@@ -160,4 +166,35 @@ ORACLES: dict[str, str] = {
             FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_phrases": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT d, lang, unnest(regexp_extract_all(text, '[^.,;:!?\n\x0b\f\r]+')) AS piece FROM d),
+        q AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM p),
+        w AS (SELECT p, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM q),
+        g AS (SELECT lang, w AS w1, lead(w) OVER (PARTITION BY p ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY p ORDER BY i) AS w3 FROM w),
+        f1 AS MATERIALIZED (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+        f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+        inside AS (
+            SELECT lang, w1, w2, max(f) AS longer
+            FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.f AS a, x.f AS l, y.f AS r
+            FROM f2 AS c JOIN f1 AS x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 AS y ON y.lang = c.lang AND y.w1 = c.w2
+            LEFT JOIN inside AS i ON i.lang = c.lang AND i.w1 = c.w1 AND i.w2 = c.w2
+            WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.f
+            UNION ALL
+            SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.f, x.f, y.f
+            FROM f3 AS c JOIN f1 AS x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 AS y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+            UNION ALL
+            SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.f, x.f, y.f
+            FROM f3 AS c JOIN f2 AS x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 AS y ON y.lang = c.lang AND y.w1 = c.w3),
+        scored AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM cuts),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
