@@ -181,7 +181,7 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", longest:
         return F.concat_ws("\t", "lang", words)
 
     spread = F.when(F.col("words").eqNullSafe(1) & _word(1).isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    parts = counts.select("key", "n", F.explode(spread).alias("lane"))
+    parts = cut(counts.select("key", "n", F.explode(spread).alias("lane")))
 
     def lane(words: Column) -> Column:
         return F.when((F.size(words) == 1) & words[0].isin(hot), F.pmod(F.xxhash64("key"), F.lit(SPREAD))).otherwise(0).cast("int")
