@@ -12,6 +12,7 @@ from claimweave.llm.bpe import round_trip
 from claimweave.llm.common import read
 from claimweave.llm.exact_topk import exact_topk
 from claimweave.llm.langid import held_out, identify, labelled_sample
+from claimweave.llm.lexical import build_index, search
 from claimweave.llm.lines import dedup_lines
 from claimweave.llm.mixing import label_domain, mix, train
 from claimweave.llm.packing import pack
@@ -154,7 +155,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents").select("text", "lang"))
 
 
-QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id, "op11_packing": op11_packing, "op12_phrases": op12_phrases}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return search(build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_shards": op1_shards, "op2_urls": op2_urls, "op3_ann": op3_ann, "op4_secrets": op4_secrets, "op5_simhash": op5_simhash, "op6_bpe": op6_bpe, "op7_mix": op7_mix, "op8_exact_topk": op8_exact_topk, "op9_line_dedup": op9_line_dedup, "op10_language_id": op10_language_id, "op11_packing": op11_packing, "op12_phrases": op12_phrases, "op13_lexical": op13_lexical}
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
         WITH v AS (
@@ -197,4 +203,26 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
         SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
         FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_lexical": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS d, doc_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        docs AS MATERIALIZED (SELECT d, doc_id, w, len(w) AS n FROM t WHERE len(w) > 0),
+        p AS MATERIALIZED (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY ALL),
+        s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM docs),
+        weight AS (
+            SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY term, nn),
+        items AS (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        q AS (
+            SELECT i, item_id,
+                unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM items),
+        u AS (SELECT i, item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        scored AS (
+            SELECT i, item_id, d, doc_id,
+                sum(times * weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+            FROM u JOIN weight USING (term) JOIN p USING (term) JOIN docs USING (d), s GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
