@@ -53,8 +53,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of so many rows and of up to 64 MB for what is written inside; the session's own limits come back."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
+    """Arrow batches of so many rows and of up to 16 MB for what is written inside; the session's own limits come back."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
     before = {name: spark.conf.get(name, None) for name in names}
     for name, value in names.items():
         spark.conf.set(name, value)

@@ -37,7 +37,7 @@ def suffixes(text: str, longest: int) -> Iterator[Iterator[bytes]]:
             words += piece[at:end].split()
             if end == len(piece) and words:
                 words += [b""] * (longest - 1)
-            yield map(b"\t".join, zip(*(words[i:] for i in range(longest))))
+            yield map(b"\t".join, zip(*(words[i:] for i in range(longest)))) if longest > 1 else iter(words)
             words = words[-(longest - 1) :] if longest > 1 else []
             at = end
 
@@ -50,11 +50,8 @@ def _counted(texts: DataFrame, longest: int) -> DataFrame:
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
-                first = lang.encode() + b"\t"
-                items = sorted(counts.items())
-                for at in range(0, len(items), 50_000):
-                    part = items[at : at + 50_000]
-                    yield pa.record_batch([pa.array([first + k for k, _ in part], pa.binary()).cast(pa.string()), pa.array([n for _, n in part], pa.int64())], names=["key", "n"])
+                keys = pc.binary_join_element_wise(lang, pa.array(list(counts), pa.binary()).cast(pa.string()), "\t")
+                yield from pa.table({"key": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))}).to_batches(50_000)
             held.clear()
 
         size = 0
@@ -137,7 +134,7 @@ def ngrams(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFram
     count comes in parts that are added up afterwards.
     """
     spark = docs.sparkSession
-    with arrow_batches(spark, 256):
+    with arrow_batches(spark, 20_000):
         single = cut(_counted(docs, 1).groupBy("key").agg(F.sum("n").alias("n")))
     languages = single.groupBy(_beginning(0).alias("lang")).agg(F.sum("n").alias("n"))
     total = single.agg(F.sum("n")).first()[0] or 0
@@ -154,7 +151,7 @@ def ngrams(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFram
             part &= pc.is_in(column, value_set=frequent).to_numpy(zero_copy_only=False)
         return (counts >= least) | (part if level < longest else False)
 
-    with arrow_batches(spark, 256):
+    with arrow_batches(spark, 20_000):
         sent = _counted(docs, longest).repartition(meet)
         found = sent.sortWithinPartitions(F.desc("key")).mapInArrow(lambda b: count_beginnings(b, longest, keep), "key string, words int, n long")
         counts = cut(found.groupBy("key", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
