@@ -11,6 +11,7 @@ from claimweave.functions.scalars import check_key
 from claimweave.operators import analytics as A
 from claimweave.operators import claims as C
 from claimweave.operators import evaluation as V
+from claimweave.operators import knn as K
 from claimweave.operators import store as T
 from claimweave.operators import tables as B
 from claimweave.operators import vectors as N
@@ -28,20 +29,21 @@ def _vectors(spark, d):
 
 
 def match_claims(spark, d):
-    v = _vectors(spark, d)
-    return N.neighbours(v, v.where("id % 50 = 0"), 10, 0.2, "label").select("query_id", "place", "id", F.round("similarity", 6).alias("similarity"))
+    """The ten claims most like each claim, of its label."""
+    return K.nearest_of_all(_vectors(spark, d), 10, 0.2, "label").select("query_id", "place", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def nli_neighbors(spark, d):
-    v = _vectors(spark, d)
-    found = N.neighbours(v, v.where("id % 25 = 0"), 3, 0.2, "label")
-    return N.distinct_pairs(found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), F.struct("query_id", "place").alias("at"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs of a claim and one of its three nearest of the same label that are not of one sentence. Reports ask for a
+    similarity over 0.85; no two of the given vectors have that, so 0.2 is asked here."""
+    found = K.nearest_of_all(_vectors(spark, d), 3, 0.2, "label")
+    return K.contrary_pairs(found, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("sentence"))).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def search_claims(spark, d):
-    """Five queries over all claims' vectors; a best hit under 0.25 is of low relevance."""
+    """Every hundredth claim asks all claims' vectors; a best hit under 0.25 is of low relevance."""
     v = _vectors(spark, d)
-    found = N.neighbours(v, v.where("id < 5"), 8, -1.0)
+    found = N.neighbours(v, v.where("id % 100 = 0"), 8, -1.0)
     low = F.max("similarity").over(Window.partitionBy("query_id")) < 0.25
     return found.select("query_id", "place", "id", F.round("similarity", 6).alias("similarity"), low.alias("low_relevance"))
 
@@ -380,9 +382,10 @@ ORACLES = {
     "collect_links": """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS text,
             generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) - 1 AS nth FROM pages)
         SELECT page_id, nth, href, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || href ELSE href END AS absolute FROM l""",
-    "match_claims": f"WITH {_NEAR('vec_id % 50 = 0', 'q.label = v.label')} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, id, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.2 QUALIFY place <= 10",
-    "nli_neighbors": f"WITH {_NEAR('vec_id % 25 = 0', 'q.label = v.label')}, t AS (SELECT * FROM s WHERE similarity > 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3) SELECT DISTINCT least(query_id, id) AS a, greatest(query_id, id) AS b FROM t",
-    "search_claims": f"WITH {_NEAR('vec_id < 5', 'TRUE')}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, max(similarity) OVER (PARTITION BY query_id) < 0.25 AS low_relevance FROM s) SELECT query_id, place, id, round(similarity, 6) AS similarity, low_relevance FROM t WHERE place <= 8",
+    "match_claims": f"WITH {_NEAR('vec_id IS NOT NULL', 'q.label = v.label')} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, id, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.2 QUALIFY place <= 10",
+    "nli_neighbors": f"""WITH {_NEAR('vec_id IS NOT NULL', 'q.label = v.label')}, t AS (SELECT * FROM s WHERE similarity > 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3)
+        SELECT DISTINCT least(query_id, t.id) AS a, greatest(query_id, t.id) AS b, round(similarity, 6) AS similarity FROM t LEFT JOIN documents AS x ON x.doc_id = query_id LEFT JOIN documents AS y ON y.doc_id = t.id WHERE x.text IS NULL OR y.text IS NULL OR x.text <> y.text""",
+    "search_claims": f"WITH {_NEAR('vec_id % 100 = 0', 'TRUE')}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, max(similarity) OVER (PARTITION BY query_id) < 0.25 AS low_relevance FROM s) SELECT query_id, place, id, round(similarity, 6) AS similarity, low_relevance FROM t WHERE place <= 8",
     "pair_dedup": """WITH p AS (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey % 60 END AS a, l_suppkey % 60 AS b, l_orderkey * 8 + l_linenumber AS at FROM lineitem)
         SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, FALSE AS open FROM p WHERE a IS NOT NULL AND a <> b UNION ALL SELECT b, b, TRUE FROM p WHERE a IS NULL""",
     "score_join": """WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey % 100 AS INT) AS score FROM supplier WHERE s_suppkey % 3 <> 0) SELECT c.company_id, s.score FROM (SELECT DISTINCT l_suppkey AS company_id FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)) AS c LEFT JOIN s ON s.k = c.company_id""",
