@@ -28,7 +28,8 @@ def suffixes(text: str, longest: int) -> Iterator[Iterator[bytes]]:
 
     Shorter ones are filled up with empty words, so all have as many tabs, and equal beginnings sort together.
     """
-    for piece in text.encode("utf-8", "replace").translate(_PLAIN).split(b"\n"):
+    plain = text.encode("utf-8", "replace").translate(_PLAIN)
+    for piece in plain.split(b"\n") if longest > 1 else [plain.replace(b"\n", b" ")]:
         words: list[bytes] = []
         at = 0
         while at < len(piece):
@@ -51,7 +52,9 @@ def _counted(texts: DataFrame, longest: int) -> DataFrame:
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
                 keys = pc.binary_join_element_wise(lang, pa.array(list(counts), pa.binary()).cast(pa.string()), "\t")
-                yield from pa.table({"key": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))}).to_batches(50_000)
+                sent = pa.table({"key": keys, "n": np.fromiter(counts.values(), np.int64, len(counts))})
+                # in runs as they will be sorted, which compress and merge well
+                yield from sent.take(pc.array_sort_indices(keys, order="descending")).to_batches(50_000)
             held.clear()
 
         size = 0
