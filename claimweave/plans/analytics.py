@@ -87,22 +87,22 @@ _PEERS = f"""{_REP}, latest AS (SELECT company_id, metric_key, metric_year, unit
         FROM whole AS k JOIN stats USING (metric_key))"""
 _STATE = r"trim(regexp_replace(regexp_replace(lower(source_sentence), '[0-9]|[^\p{L}\p{N}\s]', '', 'g'), '\s+', ' ', 'g'))"
 #: Claims of one report, pair by pair; alike ones are named by the least of them.
-CONFLICTS = f"""{ENRICH}, cand AS (SELECT *, {_STATE} AS statement, coalesce(lower(trim(canonical_unit)), '') AS u FROM enriched WHERE {_KEY} AND value_plausible AND time_bucket <> 'unknown_time'),
-    named AS (SELECT *, min(claim_id) OVER (PARTITION BY report_id, metric_key, time_bucket, location_scope, statement, canonical_value, u, metric_direction) AS name FROM cand),
+CONFLICTS = f"""{ENRICH}, cand AS MATERIALIZED (SELECT *, {_STATE} AS statement, coalesce(lower(trim(canonical_unit)), '') AS u FROM enriched WHERE {_KEY} AND value_plausible AND time_bucket <> 'unknown_time'),
+    named AS MATERIALIZED (SELECT *, min(claim_id) OVER (PARTITION BY report_id, metric_key, time_bucket, location_scope, statement, canonical_value, u, metric_direction) AS name FROM cand),
     pr AS (SELECT a.report_id, least(a.name, b.name) AS claim_a, greatest(a.name, b.name) AS claim_b, a.location_scope = b.location_scope AS same, a.statement = b.statement OR a.statement = '' OR b.statement = '' AS said,
             coalesce(abs(a.canonical_value) > 1e-9 AND abs(b.canonical_value) > 1e-9 AND abs(a.canonical_value - b.canonical_value) / greatest(abs(a.canonical_value), abs(b.canonical_value)) > 0.05, FALSE) AS apart,
             coalesce((a.metric_direction = 'increase' AND b.metric_direction = 'decrease') OR (a.metric_direction = 'decrease' AND b.metric_direction = 'increase'), FALSE) AS turned
         FROM named AS a JOIN named AS b ON a.report_id = b.report_id AND a.metric_key = b.metric_key AND a.time_bucket = b.time_bucket AND a.claim_id < b.claim_id WHERE a.u = '' OR b.u = '' OR a.u = b.u),
-    judged AS (SELECT report_id, claim_a, claim_b, CASE WHEN apart THEN CASE WHEN NOT said THEN NULL WHEN same THEN 'Metric' ELSE 'Scope' END WHEN same AND turned THEN 'Hard' END AS conflict FROM pr),
-    conflicts AS (SELECT report_id, claim_a, claim_b, conflict, CASE conflict WHEN 'Metric' THEN 'High' WHEN 'Scope' THEN 'Low' ELSE 'Critical' END AS severity, count(*) AS pairs
+    judged AS MATERIALIZED (SELECT report_id, claim_a, claim_b, CASE WHEN apart THEN CASE WHEN NOT said THEN NULL WHEN same THEN 'Metric' ELSE 'Scope' END WHEN same AND turned THEN 'Hard' END AS conflict FROM pr),
+    conflicts AS MATERIALIZED (SELECT report_id, claim_a, claim_b, conflict, CASE conflict WHEN 'Metric' THEN 'High' WHEN 'Scope' THEN 'Low' ELSE 'Critical' END AS severity, count(*) AS pairs
         FROM judged WHERE conflict IS NOT NULL GROUP BY report_id, claim_a, claim_b, conflict)"""
-_FLAGGED = """flagged AS (
+_FLAGGED = """flagged AS MATERIALIZED (
         SELECT claim_id, report_id, 'VAGUE' AS flag FROM enriched WHERE vagueness >= 0.6
         UNION ALL SELECT claim_id, report_id, 'UNSUBSTANTIATED_TARGET' FROM enriched WHERE claim_type = 'target' AND (metric_value IS NULL OR time_bucket = 'unknown_time')
         UNION ALL SELECT claim_id, report_id, 'MISSING_BASELINE' FROM enriched WHERE claim_type = 'performance' AND metric_direction IN ('increase', 'decrease') AND time_bucket = 'unknown_time'
         UNION ALL SELECT claim_id, report_id, 'NON_GROUNDABLE' FROM enriched WHERE groundability < 0.4
         UNION ALL SELECT claim_id, report_id, 'SELECTIVE_SCOPE' FROM enriched WHERE metric_value IS NOT NULL AND location_scope <> 'global')"""
-_TOTALS = """totals AS (SELECT report_id, count(*) AS total, count(*) FILTER (claim_type = 'performance') AS done, count(*) FILTER (claim_type <> 'performance') AS promised,
+_TOTALS = """totals AS MATERIALIZED (SELECT report_id, count(*) AS total, count(*) FILTER (claim_type = 'performance') AS done, count(*) FILTER (claim_type <> 'performance') AS promised,
         bool_or(metric_family LIKE 'emissions%') AS emits, bool_or(normalized_aspect LIKE 'emissions.scope3%' OR lower(source_sentence) LIKE '%scope 3%') AS scope3 FROM enriched GROUP BY report_id)"""
 
 
@@ -111,7 +111,7 @@ def _flag_sql(where: str = "TRUE") -> str:
     counted AS (SELECT report_id, flag, count(*) AS n FROM flagged WHERE {where} GROUP BY report_id, flag),
     claimed AS (SELECT report_id, flag, CASE WHEN flag = 'VAGUE' AND floor(n * 100 / total + 0.5) >= 30 OR flag = 'UNSUBSTANTIATED_TARGET' AND n >= 3 OR flag = 'NON_GROUNDABLE' AND floor(n * 100 / total + 0.5) >= 40 THEN 'High' ELSE 'Medium' END AS severity, n, total
         FROM counted JOIN totals USING (report_id)),
-    structural AS (SELECT report_id, 'DISCLOSURE_GAP' AS flag, 'High' AS severity, 0 AS n, total FROM totals WHERE emits AND NOT scope3
+    structural AS MATERIALIZED (SELECT report_id, 'DISCLOSURE_GAP' AS flag, 'High' AS severity, 0 AS n, total FROM totals WHERE emits AND NOT scope3
         UNION ALL SELECT report_id, 'ASPIRATIONAL_HEAVY', 'Medium', promised, total FROM totals WHERE total >= 10 AND done > 0 AND promised / done >= 2)"""
 
 

@@ -21,7 +21,8 @@ from claimweave.plans.claims import enriched
 from claimweave.plans.dialect import CLAIMS, ENRICH, GATE_ALL
 from claimweave.plans.documents import CELLS, pages
 from claimweave.plans.views import _STATUS as STATUS
-from claimweave.sources.tables import claims, settled, table
+from claimweave.sources import published as P
+from claimweave.sources.tables import claims, settled, shared_folder, table
 
 
 def _vectors(spark, d):
@@ -303,6 +304,18 @@ def ingest_replace(spark, d):
     return T.replace_reports(T.replace_reports(c, new), empty)
 
 
+def contradiction_replace(spark, d):
+    """Stored contradictions after the reports of every other company were scanned again without their targets: theirs are
+    replaced, also by none, and the others stay."""
+    e = settled(enriched(spark, d).select("claim_id", "company_id", "report_id", "claim_type", "metric_key", "time_bucket", "location_scope", "metric_direction", "canonical_value", "canonical_unit", "metric_value", "source_sentence", "value_plausible"))
+    found = A.numeric_conflicts(e).select("report_id", "claim_a", "claim_b", "severity", "conflict")
+    kept = P.Store(spark, shared_folder(spark, "stores"), found.schema, "report_id", 8)
+    kept.replace(found)
+    again = e.where("company_id % 2 = 0")
+    kept.replace(A.numeric_conflicts(again.where("claim_type <> 'target'")).select(found.columns), keys=again.select("report_id").distinct())
+    return kept.read()
+
+
 def report_upsert(spark, d):
     r = claims(spark, d).groupBy("report_id").agg(F.count("*").alias("claims"), F.first("company_id").alias("company_id"))
     new = r.where("company_id % 2 = 0").withColumn("claims", -F.col("claims")).unionByName(spark.createDataFrame([("r_new", 0, -1)], "report_id string, claims long, company_id long"))
@@ -336,7 +349,7 @@ QUERIES = {
     "evidence_quality": evidence_quality, "evidence_template": evidence_template, "regions": regions, "system_stats": system_stats, "ui_risk": ui_risk, "paired_z": paired_z, "ndvi_median": ndvi_median,
     "gold_match": gold_match, "eval_metrics": eval_metrics, "ablation": ablation, "bootstrap_ci": bootstrap_ci, "grounding": grounding, "stratified_sample": lambda s, d: V.stratified_sample(_units(s, d), 400),
     "frame_describe": frame_describe, "gold_diff": gold_diff, "provenance_check": provenance_check, "interaction": interaction, "tradeoff": tradeoff,
-    "ingest_replace": ingest_replace, "report_upsert": report_upsert, "resume_units": resume_units, "claims_snapshot": lambda s, d: T.snapshot(claims(s, d)), "metadata_backfill": metadata_backfill,
+    "ingest_replace": ingest_replace, "contradiction_replace": contradiction_replace, "report_upsert": report_upsert, "resume_units": resume_units, "claims_snapshot": lambda s, d: T.snapshot(claims(s, d)), "metadata_backfill": metadata_backfill,
     "collect_links": lambda s, d: T.links(table(s, d, "pages")).select("page_id", "nth", "href", "text", "absolute"), "infer_metadata": lambda s, d: T.file_metadata(file_names(s, d)).drop("stem"),
     "page_ranges": lambda s, d: T.page_runs(table(s, d, "lineitem").selectExpr("l_suppkey AS doc", "l_partkey % 50 AS page")), "audit_counts": audit_counts,
 }
@@ -355,7 +368,7 @@ _JUDGED = """jd AS (SELECT h.claim_id, h.is_esg_claim AS prec, CASE WHEN h.is_es
 _RATE = lambda r: f"count(*) FILTER ({r}) / nullif(count({r}), 0)"
 _COMPOSITE = "floor((coalesce(prec, 0) + coalesce(node, 0) + coalesce(value, 0) + coalesce(unit, 0) + coalesce(type, 0)) / ((prec IS NOT NULL)::INT + (node IS NOT NULL)::INT + (value IS NOT NULL)::INT + (unit IS NOT NULL)::INT + (type IS NOT NULL)::INT) * 1000 + 0.5) / 10 AS composite"
 _SIDE = lambda x: f"coalesce({x}.source_sentence, 'Unknown claim') AS text_{x}"
-_REVIEWED = "reviewed AS (SELECT report_id, CAST(claim_id AS VARCHAR) AS subject_id, flag, CASE WHEN (claim_id + CASE WHEN claim_id % 4 = 0 THEN 2 ELSE 1 END) % 2 = 0 THEN 'dismissed' ELSE 'confirmed' END AS verdict FROM flagged WHERE claim_id % 5 = 0)"
+_REVIEWED = "reviewed AS MATERIALIZED (SELECT report_id, CAST(claim_id AS VARCHAR) AS subject_id, flag, CASE WHEN (claim_id + CASE WHEN claim_id % 4 = 0 THEN 2 ELSE 1 END) % 2 = 0 THEN 'dismissed' ELSE 'confirmed' END AS verdict FROM flagged WHERE claim_id % 5 = 0)"
 
 
 def _stage_sql(name: str, source: str) -> str:
@@ -367,7 +380,10 @@ def _stage_sql(name: str, source: str) -> str:
 _STAGED = f"""{GATE_ALL}, {_GOLD}, s0 AS (SELECT * REPLACE (lower(aspect) AS normalized_aspect) FROM claims), s4 AS (SELECT * REPLACE (gated_aspect AS normalized_aspect, gated_type AS claim_type) FROM gated), s5 AS (SELECT * FROM s4 WHERE NOT is_furniture),
     {_stage_sql('S0', 's0')}, {_stage_sql('S1', 'claims')}, {_stage_sql('S4', 's4')}, {_stage_sql('S5', 's5')},
     rated AS (SELECT stage, count(*) AS n, {', '.join(f'{_RATE(r)} AS {r}' for r in V.RATES)} FROM ({' UNION ALL '.join(f"SELECT '{x}' AS stage, * FROM jd_{x}" for x in ('S0', 'S1', 'S4', 'S5'))}) GROUP BY stage)"""
+_AGAIN = re.sub(r"\b(cand|named|pr|judged|conflicts)\b", r"\1_again", CONFLICTS.removeprefix(ENRICH + ", ")).replace("FROM enriched WHERE", "FROM enriched WHERE claim_type <> 'target' AND company_id % 2 = 0 AND")
 ORACLES = {
+    "contradiction_replace": f"""WITH {CONFLICTS}, {_AGAIN}, odd AS (SELECT DISTINCT report_id FROM enriched WHERE company_id % 2 <> 0)
+        SELECT report_id, claim_a, claim_b, severity, conflict FROM conflicts SEMI JOIN odd USING (report_id) UNION ALL SELECT report_id, claim_a, claim_b, severity, conflict FROM conflicts_again""",
     "conflict_enrich": f"WITH {CONFLICTS}, c AS (SELECT claim_a, CASE WHEN claim_b % 7 = 0 THEN -1 ELSE claim_b END AS claim_b, severity FROM conflicts) SELECT claim_a, claim_b, severity, {_SIDE('a')}, {_SIDE('b')}, a.page_number AS page_a, b.page_number AS page_b FROM c LEFT JOIN claims AS a ON a.claim_id = claim_a LEFT JOIN claims AS b ON b.claim_id = claim_b",
     "review_latest": f"WITH {PLAIN}, {_REVIEWED} SELECT * FROM reviewed",
     "review_queue": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}, {_REVIEWED}, items AS (SELECT report_id, CAST(claim_id AS VARCHAR) AS subject_id, flag FROM flagged UNION ALL SELECT report_id, substr(sha1(claim_a || '|' || claim_b || '|' || conflict), 1, 12), 'CONTRADICTION' FROM conflicts UNION ALL SELECT report_id, '__report__', flag FROM structural)

@@ -55,19 +55,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the folder that driver and executors share and read back, for a query that
-    branches on derived columns: they are computed once, and a lost executor costs no recomputation.
-
-    The folder is ``spark.checkpoint.dir``; only a local session without one gets a new temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name where driver and executors share files (``spark.checkpoint.dir``); only a local session
+    without such a setting gets a new temporary folder for it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the folder that driver and executors share and read back, for a query that
+    branches on derived columns: they are computed once, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession, "tables")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.operators.claims import enrich
-from claimweave.operators.store import write_reports
+from claimweave.sources.published import Store
 
 #: A claim in a file of JSON lines; lines that cannot be read have only ``torn``.
 SCHEMA = (
@@ -22,13 +22,19 @@ def arriving(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
     return lines.where("torn IS NULL AND claim_id IS NOT NULL").drop("torn")
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the claims, with their derived columns, by report: a report that comes again replaces what it was.
+def ingest(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Write the claims, with their derived columns, by report: one that comes again replaces what it was, the report's
+    others stay, whatever files and micro-batches they come in. Reports that come again as a whole go through
+    ``reports.ingest_reports``.
 
     What was read is kept in ``checkpoint``, so a restart goes on where it stopped, and a batch that runs twice
-    writes the same partitions.
+    writes the same rows.
     """
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: write_reports(enrich(batch), path)).start()
+
+    def write(batch: DataFrame, _: int) -> None:
+        store.replace(enrich(batch.where("report_id IS NOT NULL").dropDuplicates(["report_id", "claim_id"])), ids=["claim_id"])
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def counts(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:

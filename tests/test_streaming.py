@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 from claimweave.streaming.claims import arriving, counts, ingest
+from claimweave.streaming.reports import store_of
 
 
 def put(folder, name, rows):
@@ -10,15 +11,21 @@ def put(folder, name, rows):
     (folder / name).write_text("\n".join(json.dumps(base | r) for r in rows) + "\n{torn")
 
 
-def test_files_are_ingested_by_report(spark, tmp_path):
-    inbox, store, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+def test_claims_of_a_report_come_in_many_batches(spark, tmp_path):
+    """Two files of three claims of one report, a file at a time: all six are stored; one that comes again is replaced."""
+    inbox, mark = tmp_path / "in", f"file://{tmp_path}/mark"
     inbox.mkdir()
-    put(inbox, "a.json", [{"claim_id": 1, "report_id": "r", "metric_value": 5.0}, {"claim_id": 2, "report_id": "s", "metric_value": 6.0}])
-    ingest(arriving(spark, str(inbox)), store, mark).awaitTermination(120)
-    put(inbox, "b.json", [{"claim_id": 3, "report_id": "r", "metric_value": 7.0}])
-    ingest(arriving(spark, str(inbox)), store, mark).awaitTermination(120)
-    got = spark.read.parquet(store).orderBy("claim_id").collect()
-    assert [(r.claim_id, r.report_id, r.canonical_unit) for r in got] == [(2, "s", "m3"), (3, "r", "m3")]
+    store = store_of(spark, f"file://{tmp_path}/out", 2)
+
+    def run():
+        assert ingest(arriving(spark, str(inbox), files=1), store, mark).awaitTermination(120)
+        return sorted((r.claim_id, r.report_id, r.metric_value, r.canonical_unit) for r in store.read().collect())
+
+    put(inbox, "a.json", [{"claim_id": i, "report_id": "r", "metric_value": 5.0} for i in (1, 2, 3)] + [{"claim_id": 7, "report_id": "s", "metric_value": 6.0}])
+    put(inbox, "b.json", [{"claim_id": i, "report_id": "r", "metric_value": 5.0} for i in (4, 5, 6)])
+    assert run() == [*((i, "r", 5.0, "m3") for i in range(1, 7)), (7, "s", 6.0, "m3")]
+    put(inbox, "c.json", [{"claim_id": 3, "report_id": "r", "metric_value": 7.0}])
+    assert [r[2] for r in run()] == [5.0, 5.0, 7.0, 5.0, 5.0, 5.0, 6.0]
 
 
 def test_counts_by_time(spark):
