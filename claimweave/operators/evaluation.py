@@ -53,26 +53,6 @@ def rates(rows: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("composite", F.floor(mean * 1000 + 0.5) / 10)
 
 
-def bootstrap(rows: DataFrame, draws: int = 200, *by: str) -> DataFrame:
-    """Percentile interval (2.5 to 97.5, nearest rank) of the composite over resamples of the claims.
-
-    A claim's weight in a resample is a Poisson draw of mean one from a hash of its id and the resample's number,
-    so weights are alike in every group (a paired bootstrap) and no list of draws is made.
-    """
-    u = F.pmod(F.xxhash64("claim_id", "draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight = F.lit(0)
-    cumulative, term = 0.0, 2.718281828459045**-1
-    for n in range(8):
-        cumulative += term
-        weight = weight + (u >= cumulative).cast("int")
-        term /= n + 1
-    drawn = rows.withColumn("draw", F.explode(F.expr(f"sequence(1, {draws})"))).withColumn("w", weight).where("w > 0")
-    sums = drawn.groupBy(*by, "draw").agg(*(F.expr(f"sum(CASE WHEN {r} THEN w END) / nullif(sum(CASE WHEN {r} IS NOT NULL THEN w END), 0)").alias(r) for r in RATES))
-    parts = F.array_compact(F.array(*RATES))
-    scored = sums.withColumn("c", 100 * F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts))
-    return scored.groupBy(*by).agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY c)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY c)").alias("high"), F.avg("c").alias("mean"))
-
-
 def grounding(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """How many valued claims (page_id, value) have their figure on their page; pages not at hand are left out."""
     numbers = F.transform(F.regexp_extract_all("markdown", F.lit(r"\d[\d,]*(?:\.\d+)?"), 0), lambda t: F.regexp_replace(t, ",", "").cast("double"))

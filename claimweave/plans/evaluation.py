@@ -12,6 +12,7 @@ from claimweave.operators import analytics as A
 from claimweave.operators import claims as C
 from claimweave.operators import evaluation as V
 from claimweave.operators import knn as K
+from claimweave.operators import resample as R
 from claimweave.operators import store as T
 from claimweave.operators import tables as B
 from claimweave.operators import vectors as N
@@ -223,12 +224,27 @@ def eval_metrics(spark, d):
     return V.rates(_judged(spark, d).withColumn("g", F.lit(1)), "g").select("n", *(F.round(r, 6).alias(r) for r in [*V.RATES, "pillar"]), "composite")
 
 
+#: Stages of the rule layer, each on top of those before.
+STAGES = ("S0", "S1", "S2", "S3", "S4", "S5")
+
+
 def _stages(spark, d):
-    """The claims after each stage: free text, taxonomy, gate, furniture dropped."""
-    e = settled(enriched(spark, d))
-    g = settled(C.gate(e, keep_furniture=True))
+    """The claims after each stage: free text, taxonomy, years of columns, values found in their table, gate, furniture
+    dropped. The page of a claim from a table shows its value under the year before in every fifth one."""
+    raw = claims(spark, d)
+    of_table = raw.where("source_type = 'table' AND metric_value > 0")
+    right = "CAST(metric_value AS BIGINT)"
+    cells = f"CASE WHEN claim_id % 5 = 0 THEN concat({right}, ' | ', 2 * {right}) ELSE concat(2 * {right} + 1, ' | ', {right}) END"
+    shown = of_table.selectExpr("claim_id AS page_id", f"concat('| Metric | FY2022 | FY2023 |\n| --- | --- | --- |\n| figure | ', {cells}, ' |') AS markdown")
+    fixed = settled(B.repair_years(of_table.selectExpr("claim_id", "claim_id AS page_id", "'figure in FY2023' AS label", "metric_value AS value"), shown).where("fy_column_fixed").select("claim_id", "value"))
+    repaired = raw.join(fixed, "claim_id", "left").withColumn("metric_value", F.coalesce("value", "metric_value")).drop("value")
+    numbers = F.transform(F.regexp_extract_all("markdown", F.lit(r"\d+"), 0), lambda t: t.cast("double"))
+    held = shown.select(F.col("page_id").alias("claim_id"), numbers.alias("numbers"))
+    e, r = settled(C.enrich(raw)), settled(C.enrich(repaired))
+    flagged = r.join(held, "claim_id", "left").withColumn("value_not_in_table", F.expr("numbers IS NOT NULL AND NOT array_contains(numbers, metric_value)")).drop("numbers")
+    g = settled(C.gate(r, keep_furniture=True))
     last = g.withColumns({"normalized_aspect": F.col("gated_aspect"), "claim_type": F.col("gated_type")})
-    return {"S0": e.withColumn("normalized_aspect", F.lower("aspect")), "S1": e, "S4": last, "S5": last.where("NOT is_furniture")}
+    return {"S0": e.withColumn("normalized_aspect", F.lower("aspect")), "S1": e, "S2": r, "S3": flagged, "S4": last, "S5": last.where("NOT is_furniture")}
 
 
 def _staged(spark, d):
@@ -240,11 +256,21 @@ def _staged(spark, d):
 
 
 def ablation(spark, d):
-    return V.rates(settled(_staged(spark, d)), "stage").select("stage", "n", F.round("node", 6).alias("node"), F.round("type", 6).alias("type"), "composite")
+    return V.rates(settled(_staged(spark, d)), "stage").select("stage", "n", *(F.round(r, 6).alias(r) for r in ("node", "value", "type")), "composite")
 
 
 def bootstrap_ci(spark, d):
-    return V.bootstrap(settled(_staged(spark, d)).where("stage IN ('S1', 'S5')"), 200, "stage")
+    """Intervals of every rate and of the composite of every stage over 2,000 resamples of the labels."""
+    return R.intervals(settled(_staged(spark, d)), V.RATES, "stage", extra=("pillar",))
+
+
+def bootstrap_deltas(spark, d):
+    """What each stage, and all stages from the first and from the second, add to the composite: paired intervals."""
+    rows = settled(_staged(spark, d))
+    point = V.rates(rows, "stage").select("stage", "composite")
+    found = R.paired_deltas(rows, V.RATES, "stage", R.stage_pairs(list(STAGES)))
+    found = found.join(point.select(F.col("stage").alias("before"), F.col("composite").alias("a")), "before").join(point.select(F.col("stage").alias("after"), F.col("composite").alias("b")), "after")
+    return found.select("before", "after", F.round(F.col("b") - F.col("a"), 1).alias("gain"), "low", "high", "excludes_zero")
 
 
 def grounding(spark, d):
@@ -347,7 +373,7 @@ QUERIES = {
     "match_claims": match_claims, "nli_neighbors": nli_neighbors, "search_claims": search_claims, "pair_dedup": pair_dedup, "conflict_enrich": conflict_enrich, "score_join": score_join,
     "satellite_relink": satellite_relink, "review_latest": review_latest, "review_queue": review_queue, "page_matched": page_matched, "yoy_common": yoy_common, "suggest_questions": suggest_questions,
     "evidence_quality": evidence_quality, "evidence_template": evidence_template, "regions": regions, "system_stats": system_stats, "ui_risk": ui_risk, "paired_z": paired_z, "ndvi_median": ndvi_median,
-    "gold_match": gold_match, "eval_metrics": eval_metrics, "ablation": ablation, "bootstrap_ci": bootstrap_ci, "grounding": grounding, "stratified_sample": lambda s, d: V.stratified_sample(_units(s, d), 400),
+    "gold_match": gold_match, "eval_metrics": eval_metrics, "ablation": ablation, "bootstrap_ci": bootstrap_ci, "bootstrap_deltas": bootstrap_deltas, "grounding": grounding, "stratified_sample": lambda s, d: V.stratified_sample(_units(s, d), 400),
     "frame_describe": frame_describe, "gold_diff": gold_diff, "provenance_check": provenance_check, "interaction": interaction, "tradeoff": tradeoff,
     "ingest_replace": ingest_replace, "contradiction_replace": contradiction_replace, "report_upsert": report_upsert, "resume_units": resume_units, "claims_snapshot": lambda s, d: T.snapshot(claims(s, d)), "metadata_backfill": metadata_backfill,
     "collect_links": lambda s, d: T.links(table(s, d, "pages")).select("page_id", "nth", "href", "text", "absolute"), "infer_metadata": lambda s, d: T.file_metadata(file_names(s, d)).drop("stem"),
@@ -377,9 +403,11 @@ def _stage_sql(name: str, source: str) -> str:
     return re.sub(r"\b(txt|hit|jd)\b", rf"\1_{name}", text)
 
 
-_STAGED = f"""{GATE_ALL}, {_GOLD}, s0 AS (SELECT * REPLACE (lower(aspect) AS normalized_aspect) FROM claims), s4 AS (SELECT * REPLACE (gated_aspect AS normalized_aspect, gated_type AS claim_type) FROM gated), s5 AS (SELECT * FROM s4 WHERE NOT is_furniture),
-    {_stage_sql('S0', 's0')}, {_stage_sql('S1', 'claims')}, {_stage_sql('S4', 's4')}, {_stage_sql('S5', 's5')},
-    rated AS (SELECT stage, count(*) AS n, {', '.join(f'{_RATE(r)} AS {r}' for r in V.RATES)} FROM ({' UNION ALL '.join(f"SELECT '{x}' AS stage, * FROM jd_{x}" for x in ('S0', 'S1', 'S4', 'S5'))}) GROUP BY stage)"""
+_DOUBLED = "CASE WHEN source_type = 'table' AND claim_id % 5 = 0 AND metric_value > 0 THEN 2 * metric_value ELSE metric_value END"
+_STAGED = f"""{CLAIMS.replace('claims AS (', 'raw AS (', 1)}, claims AS (SELECT * REPLACE ({_DOUBLED} AS metric_value) FROM raw), {GATE_ALL.removeprefix(CLAIMS + ', ')}, {_GOLD.replace('FROM claims', 'FROM raw')}, s0 AS (SELECT * REPLACE (lower(aspect) AS normalized_aspect) FROM raw),
+    s4 AS (SELECT * REPLACE (gated_aspect AS normalized_aspect, gated_type AS claim_type) FROM gated), s5 AS (SELECT * FROM s4 WHERE NOT is_furniture),
+    {_stage_sql('S0', 's0')}, {_stage_sql('S1', 'raw')}, {_stage_sql('S2', 'claims')}, {_stage_sql('S4', 's4')}, {_stage_sql('S5', 's5')}, jd_S3 AS (SELECT * FROM jd_S2),
+    rated AS (SELECT stage, count(*) AS n, {', '.join(f'{_RATE(r)} AS {r}' for r in V.RATES)} FROM ({' UNION ALL '.join(f"SELECT '{x}' AS stage, * FROM jd_{x}" for x in STAGES)}) GROUP BY stage)"""
 _AGAIN = re.sub(r"\b(cand|named|pr|judged|conflicts)\b", r"\1_again", CONFLICTS.removeprefix(ENRICH + ", ")).replace("FROM enriched WHERE", "FROM enriched WHERE claim_type <> 'target' AND company_id % 2 = 0 AND")
 ORACLES = {
     "contradiction_replace": f"""WITH {CONFLICTS}, {_AGAIN}, odd AS (SELECT DISTINCT report_id FROM enriched WHERE company_id % 2 <> 0)
@@ -393,7 +421,7 @@ ORACLES = {
     "regions": f"""WITH {PLAIN}, last AS (SELECT company_id, arg_max(report_id, report_year) AS report_id FROM enriched GROUP BY company_id), sc AS (SELECT company_id, score FROM last LEFT JOIN graded USING (report_id)), n AS (SELECT company_id, count(*) AS n FROM enriched GROUP BY company_id),
         r AS (SELECT DISTINCT company_id, CASE WHEN location_text IS NULL THEN 'Global' WHEN lower(location_text) LIKE '%india%' THEN 'Asia Pacific' ELSE 'Other' END AS region FROM enriched)
         SELECT region, count(*) AS companies, CAST(sum(n) AS BIGINT) AS claims, CAST(floor(avg(score) + 0.5) AS BIGINT) AS avg_score FROM r JOIN n USING (company_id) JOIN sc USING (company_id) GROUP BY region""",
-    "ablation": f"WITH {_STAGED} SELECT stage, n, round(node, 6) AS node, round(type, 6) AS type, {_COMPOSITE} FROM rated",
+    "ablation": f"WITH {_STAGED} SELECT stage, n, round(node, 6) AS node, round(value, 6) AS value, round(type, 6) AS type, {_COMPOSITE} FROM rated",
     "tradeoff": f"WITH {_STAGED}, c AS (SELECT stage, n, {_COMPOSITE} FROM rated) SELECT a.n AS matched_before, b.n AS matched_after, (SELECT count(*) FROM gated WHERE is_furniture) AS dropped, round(b.composite - a.composite, 1) AS gain FROM c AS a JOIN c AS b ON a.stage = 'S4' AND b.stage = 'S5'",
     "collect_links": """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS text,
             generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) - 1 AS nth FROM pages)

@@ -119,17 +119,6 @@ def test_quotes_find_their_sentence(spark):
         assert got[q] == (held[0] if held else -max(ratios)[1] if max(ratios)[0] >= 0.5 else None)
 
 
-def test_bootstrap_is_paired_and_near_the_plain_one(spark):
-    rng = random.Random(3)
-    outcomes = [(i, rng.random() < 0.8) for i in range(200)]
-    rows = [(i, s, ok or s == "b", True, True, True, True) for i, ok in outcomes for s in "ab"]
-    df = spark.createDataFrame(rows, "claim_id long, stage string, prec boolean, node boolean, value boolean, unit boolean, type boolean")
-    got = {r.stage: r for r in V.bootstrap(df, 200, "stage").collect()}
-    point = 100 * (sum(ok for _, ok in outcomes) / 200 + 4) / 5
-    assert got["b"].low == got["b"].high == 100.0 and abs(got["a"].mean - point) < 0.3
-    assert point - 1.8 < got["a"].low < point < got["a"].high < point + 1.8
-
-
 def test_sample_is_exact_and_repeatable(spark):
     units = spark.createDataFrame([(f"u{i}", "A_numeral_and_esg" if i % 2 else "C_other") for i in range(500)], "unit_id string, stratum string")
     one, two = (sorted(map(tuple, V.stratified_sample(units.repartition(k), 100).collect())) for k in (1, 7))
