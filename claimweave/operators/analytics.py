@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import expressions as X
+from claimweave.operators.ordering import running_sums
+from claimweave.sources.tables import settled
 
 MEANINGFUL = "metric_key <> 'uncategorized' AND metric_key NOT LIKE '%.unspecified'"
 STATEMENT = r"trim(regexp_replace(regexp_replace(lower(source_sentence), '[0-9]|[^\\p{L}\\p{N}\\s]', ''), '\\s+', ' '))"
@@ -125,31 +127,54 @@ def numeric_conflicts(claims: DataFrame) -> DataFrame:
     return found.where("conflict IS NOT NULL").withColumn("severity", severity)
 
 
+def _reach(value: str, up: bool) -> Column:
+    """The greatest (or least) value that is not over 30 % from ``value``: the difference over the larger of both, or of 1."""
+    a = F.col(value) if up else -F.col(value)
+    end = F.when(a >= 0.7, a / 0.7).when(a >= -1, a + 0.3).otherwise(a * 0.7)
+    end = end + 1e-9 * F.greatest(F.abs(end), F.lit(1.0))
+    return end if up else -end
+
+
+def _within(classes: DataFrame, group: list[str]) -> DataFrame:
+    """(cid, n, turned_n): members of a class's group whose value is not apart from its own, and those of them with the
+    opposite direction: running sums of members in order of values, at both ends of what is near."""
+    valued = classes.where("metric_value IS NOT NULL")
+    point = valued.select(*group, F.col("metric_value").alias("at"), F.lit(1).alias("kind"), "cid", "way", F.col("members").alias("n"), F.expr("CASE WHEN way > 0 THEN members ELSE 0 END").alias("n_up"), F.expr("CASE WHEN way < 0 THEN members ELSE 0 END").alias("n_down"))
+    ask = lambda kind: valued.select(*group, _reach("metric_value", kind == 2).alias("at"), F.lit(kind).alias("kind"), "cid", "way", *(F.lit(0).cast("long").alias(n) for n in ("n", "n_up", "n_down")))
+    events = point.unionByName(ask(0)).unionByName(ask(2))
+    summed = running_sums(events, [*(F.asc(g) for g in group), F.asc("at"), F.asc("kind"), F.asc("cid")], {"all": "n", "ups": "n_up", "downs": "n_down"})
+    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+    turned = F.when(F.col("way") > 0, F.col("downs")).when(F.col("way") < 0, F.col("ups")).otherwise(0)
+    return summed.where("kind <> 1").groupBy("cid").agg(F.sum(sign * F.col("all")).alias("n"), F.sum(sign * turned).alias("turned_n"))
+
+
 def signature_conflicts(claims: DataFrame) -> DataFrame:
     """For every class of claims of one signature, report, value and direction: how many claims of that signature
     in other reports have the opposite direction, a value over 30 % apart, or either.
 
-    Classes meet by value and direction over all reports; what meets within a report is taken off. So no
-    pairs of claims are made, however many share a signature.
+    Values near a value are an interval, so the members in it are the difference of two running sums over the values of a
+    signature in order; the same within the report is taken off. No two values are compared, however many a signature
+    has, and running sums are spread over tasks. Ends of an interval count as near, to nine digits.
     """
     ways = F.expr("CASE WHEN metric_direction IN ('increase', 'increased') THEN 1 WHEN metric_direction IN ('decrease', 'decreased') THEN -1 ELSE 0 END")
-    base = claims.where("claim_signature <> ''").withColumn("way", ways).select("claim_signature", "report_id", "metric_value", "way")
+    value = F.expr("CASE WHEN NOT isnan(metric_value) THEN metric_value END")
+    base = claims.where("claim_signature <> ''").select("claim_signature", "report_id", value.alias("metric_value"), ways.alias("way"))
     own = base.groupBy("claim_signature", "report_id", "metric_value", "way").agg(F.count("*").alias("members"))
-    every = own.groupBy("claim_signature", "metric_value", "way").agg(F.sum("members").alias("members"))
-    turned = "a.way * b.way = -1"
-    apart = "coalesce(abs(a.metric_value - b.metric_value) / greatest(abs(a.metric_value), abs(b.metric_value), 1e0) * 100 > 30, false)"
-    counts = [F.sum(F.expr(f"CASE WHEN {c} THEN b.members ELSE 0 END")).alias(n) for n, c in (("turned", turned), ("apart", apart), ("links", f"({turned}) OR {apart}"))]
-
-    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.expr(f"({turned}) OR {apart}")]
-        return left.alias("a").join(right.alias("b"), on).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.metric_value").alias("metric_value"), F.col("a.way").alias("way")).agg(*counts)
-
-    same = lambda x, y, keys: [x[k].eqNullSafe(y[k]) for k in [*keys, "metric_value", "way"]]
-    outer, inner = meet(every, every, ["claim_signature"]), meet(own, own, ["claim_signature", "report_id"])
-    with_all = own.join(outer, same(own, outer, ["claim_signature"])).select(own["*"], "turned", "apart", "links")
-    within = with_all.join(inner, same(with_all, inner, ["claim_signature", "report_id"]), "left")
-    left = [(with_all[n] - F.coalesce(inner[n], F.lit(0))).alias(n) for n in ("turned", "apart", "links")]
-    return within.select(*(with_all[c] for c in ("claim_signature", "report_id", "metric_value", "way", "members")), *left).where("links > 0")
+    own = settled(own.withColumn("cid", F.monotonically_increasing_id()))
+    found = own
+    for name, group in (("all", ["claim_signature"]), ("own", ["claim_signature", "report_id"])):
+        sums = own.groupBy(*group).agg(
+            F.sum(F.expr("CASE WHEN metric_value IS NOT NULL THEN members ELSE 0 END")).alias("valued"),
+            *(F.sum(F.expr(f"CASE WHEN {c} THEN members ELSE 0 END")).alias(n) for n, c in (("ups", "way > 0"), ("downs", "way < 0"), ("valued_ups", "way > 0 AND metric_value IS NOT NULL"), ("valued_downs", "way < 0 AND metric_value IS NOT NULL"))),
+        )
+        opposite = lambda prefix: F.when(F.col("way") > 0, F.col(f"{prefix}downs")).when(F.col("way") < 0, F.col(f"{prefix}ups")).otherwise(0)
+        has = F.col("metric_value").isNotNull()
+        met = own.join(sums, group).join(_within(own, group), "cid", "left")
+        turned, apart = opposite(""), F.when(has, F.col("valued") - F.col("n")).otherwise(0)
+        both = F.when(has, opposite("valued_") - F.col("turned_n")).otherwise(0)
+        found = found.join(met.select("cid", *(c.cast("long").alias(f"{k}_{name}") for k, c in (("turned", turned), ("apart", apart), ("links", turned + apart - both)))), "cid")
+    left = [(F.col(f"{n}_all") - F.col(f"{n}_own")).alias(n) for n in ("turned", "apart", "links")]
+    return found.select("claim_signature", "report_id", "metric_value", "way", "members", *left).where("links > 0")
 
 
 def timeline_anomalies(claims: DataFrame) -> DataFrame:

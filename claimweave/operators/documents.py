@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,55 @@ def sections(classified: DataFrame) -> DataFrame:
     return out.select("doc_id", "block_id", "page_number", "y0", "section", "level", "title", parent.alias("parent"))
 
 
+def section_tree(headed: DataFrame) -> DataFrame:
+    """``sections`` with nested intervals: ``enter``, a section's number when each is followed by all under it, and ``leave``,
+    the last number under it; and ``children``, its sections by number.
+
+    What is under a section is then a range: those whose ``enter`` lies from its own to its ``leave``; its
+    ancestors are those whose ranges hold it. No recursion: levels end at four, so a section has three ancestors at
+    most, and each is that of the last heading of the parent's level, found in one pass over the headings.
+    """
+    before = Window.partitionBy("doc_id").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("level") == 2, F.lit(1))
+    seen = [F.last(F.when(F.col("level") == k, F.lit(k)), ignorenulls=True).over(before) for k in (1, 2, 3)]
+    at = at.when(F.col("level") == 3, F.coalesce(seen[1], seen[0])).when(F.col("level") == 4, F.coalesce(seen[2], seen[1], seen[0]))
+
+    def above(column: str) -> Column:
+        """The parent's own value of a column."""
+        out = F.lit(None)
+        for k in (1, 2, 3):
+            out = F.when(F.col("__at") == k, F.last(F.when(F.col("level") == k, F.struct(column)), ignorenulls=True).over(before)[column]).otherwise(out)
+        return F.when(F.col("parent").isNotNull(), out)
+
+    out = headed.withColumn("__at", at).withColumn("__second", above("parent")).withColumn("__third", above("__second"))
+    out = out.withColumn("__path", F.array_compact(F.array("__third", "__second", "parent", "section")))
+    in_depth = Window.partitionBy("doc_id").orderBy("__path")
+    out = out.withColumn("enter", F.row_number().over(in_depth))
+    under = out.select("doc_id", F.explode("__path").alias("section")).groupBy("doc_id", "section").agg(F.count("*").alias("__under"))
+    children = headed.where("parent IS NOT NULL").groupBy("doc_id", F.col("parent").alias("section")).agg(F.array_sort(F.collect_list("section")).alias("children"))
+    met = out.join(under, ["doc_id", "section"]).join(children, ["doc_id", "section"], "left")
+    met = met.withColumn("leave", (F.col("enter") + F.col("__under") - 1).cast("int")).withColumn("children", F.coalesce("children", F.array().cast("array<int>")))
+    return met.drop("__at", "__second", "__third", "__path", "__under")
+
+
+def under_section(placed: DataFrame, tree: DataFrame, section: int) -> DataFrame:
+    """The blocks of ``placed`` (as of ``in_sections``) in a section of each document or in one under it."""
+    top = tree.where(F.col("section") == section).select("doc_id", F.col("enter").alias("__low"), F.col("leave").alias("__high"))
+    inside = tree.join(top, "doc_id").where("enter BETWEEN __low AND __high").select("doc_id", "section")
+    return placed.join(inside, ["doc_id", "section"], "left_semi")
+
+
+def subtree_counts(placed: DataFrame, tree: DataFrame) -> DataFrame:
+    """``tree`` with ``blocks_under``: how many blocks are in each section and all under it, as the difference of
+    running counts at both ends of its range."""
+    own = placed.groupBy("doc_id", "section").agg(F.count("*").alias("__own"))
+    counted = tree.join(own, ["doc_id", "section"], "left").withColumn("__own", F.coalesce("__own", F.lit(0)))
+    counted = counted.withColumn("__upto", F.sum("__own").over(Window.partitionBy("doc_id").orderBy("enter")))
+    ends = counted.select("doc_id", F.col("enter").alias("leave"), F.col("__upto").alias("__end"))
+    met = counted.join(ends, ["doc_id", "leave"])
+    return met.withColumn("blocks_under", F.col("__end") - F.col("__upto") + F.col("__own")).drop("__own", "__upto", "__end")
+
+
 def in_sections(classified: DataFrame, headed: DataFrame) -> DataFrame:
     """``classified`` with the section and title of the heading that a block is or that comes last before it by
     page and height; blocks before the first heading belong to the first section."""

@@ -59,6 +59,14 @@ def _key(df, *columns):
     return df.select("doc_id", "block_id", *columns)
 
 
+def section_subtrees(spark, d):
+    """The sections under each section, and the blocks in it and in them."""
+    c = _classified(spark, d)
+    headed = settled(D.sections(c))
+    found = D.subtree_counts(D.in_sections(c, headed), D.section_tree(headed))
+    return found.select("doc_id", "section", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"), (F.col("leave") - F.col("enter")).cast("long").alias("sections_under"), "blocks_under")
+
+
 def context_window(spark, d):
     found = D.context(settled(D.score(_story(spark, d))))
     return _key(found, "idx", F.length("before").alias("before"), F.length("after").alias("after"), F.sha2("chunk", 256).alias("chunk"))
@@ -143,6 +151,7 @@ QUERIES = {
     "layout_classify": lambda s, d: _key(D.classify(blocks(s, d)), "kind"),
     "repeat_filter": lambda s, d: _key(D.drop_repeating(_classified(s, d)), "kind"),
     "section_levels": lambda s, d: _key(D.sections(_classified(s, d)), "section", "level", "title", "parent"),
+    "section_subtrees": section_subtrees,
     "block_section_asof": lambda s, d: _key(_placed(s, d), "section", "title"),
     "sentences": lambda s, d: _key(_sentences(s, d), "idx", "sentence"),
     "candidate_score": lambda s, d: _key(D.score(_story(s, d)).where(F.col("tenths") >= D.KEEP), "idx", "tenths"),
@@ -209,6 +218,11 @@ ORACLES = {
         r AS (SELECT e.doc_id, e.block_id FROM e JOIN c USING (doc_id, k) JOIN t USING (doc_id) WHERE n >= 3 AND n >= 0.6 * pages)
         SELECT doc_id, block_id, kind FROM kinds WHERE (doc_id, block_id) NOT IN (SELECT doc_id, block_id FROM r)""",
     "section_levels": f"""WITH {HEADED} SELECT doc_id, block_id, section, level, title, (SELECT arg_max(p.section, p.level * 1000000000 + p.section) FROM heads AS p WHERE p.doc_id = h.doc_id AND p.section < h.section AND p.level < h.level) AS parent FROM heads AS h""",
+    "section_subtrees": f"""WITH RECURSIVE {PLACED}, s AS MATERIALIZED (SELECT doc_id, section, (SELECT arg_max(p.section, p.level * 1000000000 + p.section) FROM heads AS p WHERE p.doc_id = h.doc_id AND p.section < h.section AND p.level < h.level) AS parent FROM heads AS h),
+        under AS (SELECT doc_id, section AS top, section FROM s UNION ALL SELECT u.doc_id, u.top, s.section FROM under AS u JOIN s ON s.doc_id = u.doc_id AND s.parent = u.section),
+        b AS (SELECT doc_id, sec AS section, count(*) AS n FROM placed GROUP BY ALL), k AS (SELECT doc_id, parent AS section, string_agg(section, ',' ORDER BY section) AS children FROM s WHERE parent IS NOT NULL GROUP BY ALL)
+        SELECT u.doc_id, u.top AS section, coalesce(any_value(k.children), '') AS children, count(*) - 1 AS sections_under, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS blocks_under
+        FROM under AS u LEFT JOIN b ON b.doc_id = u.doc_id AND b.section = u.section LEFT JOIN k ON k.doc_id = u.doc_id AND k.section = u.top GROUP BY u.doc_id, u.top""",
     "block_section_asof": f"WITH {PLACED} SELECT doc_id, block_id, sec AS section, title FROM placed",
     "sentences": f"WITH {SENTENCES} SELECT doc_id, block_id, idx, sentence FROM found",
     "candidate_score": f"WITH {SCORED} SELECT doc_id, block_id, idx, tenths FROM scored WHERE tenths >= 4",

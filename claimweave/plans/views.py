@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from claimweave.operators import claims as C
+from claimweave.operators import ordering as Q
 from claimweave.operators import views as O
 from claimweave.plans.claims import KNOWN_TAGS as _KNOWN_TAGS
 from claimweave.plans.claims import enriched
@@ -20,7 +23,21 @@ def facet_filter(spark, d):
     return wanted.select("claim_id", "confidence")
 
 
+def sorted_claims(spark, d):
+    """All claims by value, greatest first and missing ones last, with their place and page."""
+    found = Q.in_order(enriched(spark, d).select("claim_id", "company_id", "metric_value", "groundability"), "metric_value", descending=True)
+    return found.withColumn("page", F.expr("(place - 1) div 20 + 1"))
+
+
+def claim_pages(spark, d):
+    """The third page of 1,000 claims by groundability, as the explorer reads them."""
+    ordered = Q.in_order(enriched(spark, d).select("claim_id", "groundability"), "groundability", descending=True)
+    return Q.page(ordered, 3, 1000)
+
+
 QUERIES = {
+    "sorted_claims": sorted_claims,
+    "claim_pages": claim_pages,
     "ui_claim": lambda s, d: O.ui_claims(enriched(s, d)).select("claim_id", "status", "risk", "confidence", "verifiability", "sector"),
     "company_rollup": lambda s, d: O.company_rollup(O.ui_claims(enriched(s, d))),
     "metric_timeline": lambda s, d: O.metric_timeline(O.ui_claims(settled(enriched(s, d)))),
@@ -35,6 +52,8 @@ _STATUS = "CASE WHEN groundability > 0.8 THEN 'verified' WHEN groundability < 0.
 _SHOWN = f"{GATE}, shown AS (SELECT *, {_STATUS} AS status, CAST(floor(groundability * 100 + 0.5) AS INT) AS confidence, split_part(metric_family, '.', 1) AS sector FROM gated)"
 _TALLY = lambda facet, option, source="shown", where="TRUE": f"SELECT '{facet}' AS facet, option, count(*) AS n FROM (SELECT {option} AS option FROM {source} WHERE {where}) WHERE coalesce(option, '') <> '' GROUP BY option"
 ORACLES = {
+    "sorted_claims": f"WITH {ENRICH}, n AS (SELECT claim_id, company_id, metric_value, groundability, row_number() OVER (ORDER BY metric_value DESC NULLS LAST, claim_id) AS place FROM enriched) SELECT *, (place - 1) // 20 + 1 AS page FROM n",
+    "claim_pages": f"WITH {ENRICH}, n AS (SELECT claim_id, groundability, row_number() OVER (ORDER BY groundability DESC NULLS LAST, claim_id) AS place FROM enriched) SELECT * FROM n WHERE place BETWEEN 2001 AND 3000",
     "ui_claim": f"""WITH {ENRICH} SELECT claim_id, {_STATUS} AS status, CASE WHEN groundability > 0.7 THEN 'low' WHEN groundability > 0.4 THEN 'medium' ELSE 'high' END AS risk,
         CAST(floor(groundability * 100 + 0.5) AS INT) AS confidence, CAST(floor((1 - vagueness) * 100 + 0.5) AS INT) AS verifiability, split_part(metric_family, '.', 1) AS sector FROM enriched""",
     "company_rollup": f"""WITH {ENRICH}, u AS (SELECT *, {_STATUS} AS status FROM enriched) SELECT company_id, report_id, count(*) AS claims, count(*) FILTER (status = 'verified') AS verified,
