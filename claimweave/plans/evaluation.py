@@ -23,6 +23,7 @@ from claimweave.plans.dialect import CLAIMS, ENRICH, GATE_ALL
 from claimweave.plans.documents import CELLS, pages
 from claimweave.plans.views import _STATUS as STATUS
 from claimweave.sources import published as P
+from claimweave.sources.functions import register
 from claimweave.sources.tables import claims, settled, shared_folder, table
 
 
@@ -50,6 +51,15 @@ def search_claims(spark, d):
     return found.select("query_id", "place", "id", F.round("similarity", 6).alias("similarity"), low.alias("low_relevance"))
 
 
+def match_claims_sql(spark, d):
+    """For the first claim of the table, the five most like it in every label, asked in SQL of the set-returning function."""
+    register(spark)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("claim_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    first = v.orderBy("claim_id").first()
+    asked = "array(" + ", ".join(f"{x!r}D" for x in first["embedding"]) + ")"
+    return spark.sql(f"SELECT label, claim_id, round(similarity, 6) AS similarity FROM match_claims(TABLE({{v}}) PARTITION BY (label) ORDER BY (claim_id), {asked}, 0.0D, 5, {first['claim_id']}L)", v=v)
+
+
 def pair_dedup(spark, d):
     p = table(spark, d, "lineitem").selectExpr("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey % 60 END AS a", "l_suppkey % 60 AS b", "l_orderkey * 8 + l_linenumber AS at").distinct()
     return N.distinct_pairs(p).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").isNull().alias("open"))
@@ -370,7 +380,7 @@ def audit_counts(spark, d):
 
 
 QUERIES = {
-    "match_claims": match_claims, "nli_neighbors": nli_neighbors, "search_claims": search_claims, "pair_dedup": pair_dedup, "conflict_enrich": conflict_enrich, "score_join": score_join,
+    "match_claims": match_claims, "nli_neighbors": nli_neighbors, "match_claims_sql": match_claims_sql, "search_claims": search_claims, "pair_dedup": pair_dedup, "conflict_enrich": conflict_enrich, "score_join": score_join,
     "satellite_relink": satellite_relink, "review_latest": review_latest, "review_queue": review_queue, "page_matched": page_matched, "yoy_common": yoy_common, "suggest_questions": suggest_questions,
     "evidence_quality": evidence_quality, "evidence_template": evidence_template, "regions": regions, "system_stats": system_stats, "ui_risk": ui_risk, "paired_z": paired_z, "ndvi_median": ndvi_median,
     "gold_match": gold_match, "eval_metrics": eval_metrics, "ablation": ablation, "bootstrap_ci": bootstrap_ci, "bootstrap_deltas": bootstrap_deltas, "grounding": grounding, "stratified_sample": lambda s, d: V.stratified_sample(_units(s, d), 400),
@@ -427,6 +437,7 @@ ORACLES = {
             generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1), 1) - 1 AS nth FROM pages)
         SELECT page_id, nth, href, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS text, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || href ELSE href END AS absolute FROM l""",
     "match_claims": f"WITH {_NEAR('vec_id IS NOT NULL', 'q.label = v.label')} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, id, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.2 QUALIFY place <= 10",
+    "match_claims_sql": f"WITH {_NEAR('vec_id = (SELECT min(vec_id) FROM embeddings)', 'TRUE')} SELECT label, id AS claim_id, round(similarity, 6) AS similarity FROM s JOIN (SELECT vec_id AS id, label FROM v) USING (id) WHERE similarity > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity DESC, id) <= 5",
     "nli_neighbors": f"""WITH {_NEAR('vec_id IS NOT NULL', 'q.label = v.label')}, t AS (SELECT * FROM s WHERE similarity > 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 3)
         SELECT DISTINCT least(query_id, t.id) AS a, greatest(query_id, t.id) AS b, round(similarity, 6) AS similarity FROM t LEFT JOIN documents AS x ON x.doc_id = query_id LEFT JOIN documents AS y ON y.doc_id = t.id WHERE x.text IS NULL OR y.text IS NULL OR x.text <> y.text""",
     "search_claims": f"WITH {_NEAR('vec_id % 100 = 0', 'TRUE')}, t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS place, max(similarity) OVER (PARTITION BY query_id) < 0.25 AS low_relevance FROM s) SELECT query_id, place, id, round(similarity, 6) AS similarity, low_relevance FROM t WHERE place <= 8",
