@@ -13,9 +13,17 @@ from claimweave.plans.evidence import CHECKED, FOLDED, evidence
 from claimweave.sources.tables import claims, settled
 
 
-def _e(spark, d):
-    """Enriched claims, written once: these queries filter and branch on derived columns."""
-    return settled(enriched(spark, d))
+#: What figures, conflicts, signatures and flags are made of.
+FIGURES = "claim_id company_id report_year claim_type metric_key metric_value time_bucket canonical_value canonical_unit value_plausible".split()
+CONFLICTING = "claim_id report_id metric_key time_bucket location_scope metric_direction metric_value canonical_value canonical_unit value_plausible source_sentence".split()
+SIGNED = "claim_signature report_id metric_value metric_direction".split()
+FLAGGING = "claim_id report_id claim_type metric_value metric_direction time_bucket location_scope vagueness groundability".split()
+REPORTING = [*FLAGGING, *"company_id report_year metric_family normalized_aspect source_sentence".split()]
+
+
+def _e(spark, d, *columns):
+    """Enriched claims, those columns alone, written once: these queries filter and branch on derived columns."""
+    return settled(enriched(spark, d).select(list(dict.fromkeys(columns))))
 
 
 def _dismissed(enriched):
@@ -23,47 +31,47 @@ def _dismissed(enriched):
 
 
 def integrity_score(spark, d):
-    e = _e(spark, d)
+    e = _e(spark, d, *REPORTING, *CONFLICTING)
     return A.integrity_score(e, A.report_flags(e, None, A.numeric_conflicts(e)))
 
 
 def integrity_reviewed(spark, d):
-    e = _e(spark, d)
+    e = _e(spark, d, *REPORTING, *CONFLICTING)
     return A.integrity_score(e, A.report_flags(e, _dismissed(e), A.numeric_conflicts(e)))
 
 
 def portfolio(spark, d):
     """Scores after review, with conflicts and the evidence of other reports."""
-    e = _e(spark, d)
+    e = _e(spark, d, *REPORTING, *CONFLICTING, "metric_unit", *FIGURES)
     scores = A.integrity_score(e, A.report_flags(e, _dismissed(e), A.numeric_conflicts(e)))
     return A.portfolio(e, E.score_factcheck(scores, E.fact_check_summary(e, E.fact_check(e, evidence(spark, d, e))))).select("company_id", "report_id", "report_year", "claims", "score", "grade")
 
 
 def risk_score(spark, d):
-    e = _e(spark, d)
+    e = _e(spark, d, *REPORTING, *CONFLICTING, "observability")
     return A.risk_score(e, A.numeric_conflicts(e))
 
 
 def target_gap(spark, d):
     """Every company's target is nine tenths of its last figure, five years on."""
-    e = _e(spark, d)
+    e = _e(spark, d, *FIGURES)
     last = A.representative(e).groupBy("company_id", "metric_key").agg(F.max_by("value", "metric_year").alias("v"), F.max("metric_year").alias("y"))
     return A.trajectory(e, last.select("company_id", "metric_key", (F.col("v") * 0.9).alias("target_value"), (F.col("y") + 5).alias("target_year")))
 
 
 QUERIES = {
-    "representative": lambda s, d: A.representative(_e(s, d)),
-    "cross_company": lambda s, d: A.cross_company(_e(s, d)),
-    "scorecard": lambda s, d: A.scorecard(_e(s, d)),
-    "trajectory": lambda s, d: A.trajectory(_e(s, d)),
+    "representative": lambda s, d: A.representative(_e(s, d, *FIGURES)),
+    "cross_company": lambda s, d: A.cross_company(_e(s, d, *FIGURES)),
+    "scorecard": lambda s, d: A.scorecard(_e(s, d, *FIGURES)),
+    "trajectory": lambda s, d: A.trajectory(_e(s, d, *FIGURES)),
     "target_gap": target_gap,
-    "contradictions_numeric": lambda s, d: A.numeric_conflicts(_e(s, d)).select("report_id", "claim_a", "claim_b", "conflict", "severity", (F.col("members_a") * F.col("members_b")).alias("pairs")),
-    "contradictions_signature": lambda s, d: A.signature_conflicts(_e(s, d)),
+    "contradictions_numeric": lambda s, d: A.numeric_conflicts(_e(s, d, *CONFLICTING)).select("report_id", "claim_a", "claim_b", "conflict", "severity", (F.col("members_a") * F.col("members_b")).alias("pairs")),
+    "contradictions_signature": lambda s, d: A.signature_conflicts(_e(s, d, *SIGNED)),
     "timeline_anomaly": lambda s, d: A.timeline_anomalies(claims(s, d)),
-    "claim_flags": lambda s, d: A.claim_flags(_e(s, d)).select("claim_id", "flag"),
-    "greenwash_flags": lambda s, d: A.report_flags(_e(s, d)).where("n > 0 AND flag <> 'ASPIRATIONAL_HEAVY'"),
-    "report_flags": lambda s, d: A.report_flags(_e(s, d)).where("flag IN ('DISCLOSURE_GAP', 'ASPIRATIONAL_HEAVY')"),
-    "dismiss_anti": lambda s, d: (lambda e: A.report_flags(e, _dismissed(e)).where("n > 0 AND flag <> 'ASPIRATIONAL_HEAVY'").select("report_id", "flag", "n"))(_e(s, d)),
+    "claim_flags": lambda s, d: A.claim_flags(_e(s, d, *FLAGGING)).select("claim_id", "flag"),
+    "greenwash_flags": lambda s, d: A.report_flags(_e(s, d, *REPORTING)).where("n > 0 AND flag <> 'ASPIRATIONAL_HEAVY'"),
+    "report_flags": lambda s, d: A.report_flags(_e(s, d, *REPORTING)).where("flag IN ('DISCLOSURE_GAP', 'ASPIRATIONAL_HEAVY')"),
+    "dismiss_anti": lambda s, d: (lambda e: A.report_flags(e, _dismissed(e)).where("n > 0 AND flag <> 'ASPIRATIONAL_HEAVY'").select("report_id", "flag", "n"))(_e(s, d, *REPORTING)),
     "integrity_score": integrity_score,
     "integrity_reviewed": integrity_reviewed,
     "portfolio": portfolio,
@@ -156,9 +164,10 @@ ORACLES = {
         SELECT report_id, vague, narrative, missing, conflicts, risk, CASE WHEN risk > 0.6 THEN 'High Risk' WHEN risk > 0.3 THEN 'Moderate Risk' ELSE 'Low Risk' END AS status FROM j""",
 }
 PLAIN = f"{ENRICH}, {_flag_sql()}, {_score_sql(_BOTH)}"
+WHOLE = f"{CONFLICTS}, {_flag_sql()}, {_score_sql(WITH_CONFLICTS)}"
 ORACLES |= {
-    "score_factcheck": f"WITH {PLAIN}, {CHECKED}, {FOLDED} SELECT report_id, claims, score, {X.grade('score')} AS grade, penalty, bonus FROM folded",
-    "score_satellite": f"""WITH {PLAIN}, seen AS (SELECT report_id, count(*) FILTER (claim_id % 4 = 0) AS sup, count(*) FILTER (claim_id % 4 = 1) AS con, count(*) AS checked FROM enriched WHERE claim_id % 9 = 0 GROUP BY report_id),
+    "score_factcheck": f"WITH {WHOLE}, {CHECKED}, {FOLDED} SELECT report_id, claims, score, {X.grade('score')} AS grade, penalty, bonus FROM folded",
+    "score_satellite": f"""WITH {WHOLE}, seen AS (SELECT report_id, count(*) FILTER (claim_id % 4 = 0) AS sup, count(*) FILTER (claim_id % 4 = 1) AS con, count(*) AS checked FROM enriched WHERE claim_id % 9 = 0 GROUP BY report_id),
         j AS (SELECT report_id, claims, score, coalesce(checked, 0) AS checked, coalesce(sup, 0) AS supported, coalesce(con, 0) AS not_supported, floor(50 * least(1e0, coalesce(con, 0) / claims) * 10 + 0.5) / 10 AS penalty FROM graded LEFT JOIN seen USING (report_id)),
         k AS (SELECT *, floor(least(5e0, 2e0 * supported, greatest(0e0, 100e0 - (score - penalty))) * 10 + 0.5) / 10 AS bonus FROM j)
         SELECT report_id, checked, supported, not_supported, penalty, bonus, floor(greatest(0e0, least(100e0, score - penalty + bonus)) * 10 + 0.5) / 10 AS score FROM k""",

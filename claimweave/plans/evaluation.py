@@ -17,7 +17,7 @@ from claimweave.operators import store as T
 from claimweave.operators import tables as B
 from claimweave.operators import vectors as N
 from claimweave.operators import views as O
-from claimweave.plans.analytics import CONFLICTS, PLAIN, WITH_CONFLICTS
+from claimweave.plans.analytics import CONFLICTS, CONFLICTING, FIGURES, PLAIN, REPORTING, WHOLE, WITH_CONFLICTS
 from claimweave.plans.claims import enriched
 from claimweave.plans.dialect import CLAIMS, ENRICH, GATE_ALL
 from claimweave.plans.documents import CELLS, pages
@@ -67,7 +67,7 @@ def pair_dedup(spark, d):
 
 def conflict_enrich(spark, d):
     """Conflicts with both texts and places; ids in no claim get a placeholder."""
-    e = settled(enriched(spark, d))
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*CONFLICTING, "page_number"]))))
     c = A.numeric_conflicts(e).select("claim_a", F.expr("CASE WHEN claim_b % 7 = 0 THEN -1 ELSE claim_b END").alias("claim_b"), "severity")
     side = lambda x: e.select(F.col("claim_id").alias(f"claim_{x}"), F.col("source_sentence").alias(f"text_{x}"), F.col("page_number").alias(f"page_{x}"))
     met = c.join(side("a"), "claim_a", "left").join(side("b"), "claim_b", "left")
@@ -103,13 +103,13 @@ def _reviews(e):
 
 
 def review_latest(spark, d):
-    return T.latest(_reviews(settled(enriched(spark, d))), ["report_id", "subject_id", "flag"], "at").select("report_id", "subject_id", "flag", "verdict")
+    return T.latest(_reviews(settled(enriched(spark, d).select(REPORTING))), ["report_id", "subject_id", "flag"], "at").select("report_id", "subject_id", "flag", "verdict")
 
 
 def review_queue(spark, d):
     """Every item that can be reviewed: claims' flags, conflicts by a digest of their text, and report flags; with
     the latest verdict and its place in the queue (open first, then dismissed, then confirmed)."""
-    e = settled(enriched(spark, d))
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*REPORTING, *CONFLICTING]))))
     items = A.claim_flags(e).select("report_id", F.col("claim_id").cast("string").alias("subject_id"), "flag")
     bad = A.numeric_conflicts(e).select("report_id", F.expr("left(sha1(concat_ws('|', claim_a, claim_b, conflict)), 12)").alias("subject_id"), F.lit("CONTRADICTION").alias("flag"))
     whole = A.report_flags(e).where("flag IN ('DISCLOSURE_GAP', 'ASPIRATIONAL_HEAVY')").select("report_id", F.lit("__report__").alias("subject_id"), "flag")
@@ -128,7 +128,7 @@ def page_matched(spark, d):
 
 def yoy_common(spark, d):
     """The first figure of each metric that a company reports in both of two neighbouring report years."""
-    e = settled(enriched(spark, d)).where(f"metric_value IS NOT NULL AND {A.MEANINGFUL}")
+    e = settled(enriched(spark, d).select(FIGURES)).where(f"metric_value IS NOT NULL AND {A.MEANINGFUL}")
     first = e.groupBy("company_id", "metric_key", "report_year").agg(F.min_by("metric_value", "claim_id").alias("v"))
     later = first.select("company_id", "metric_key", (F.col("report_year") - 1).alias("report_year"), F.col("v").alias("value_next"))
     return first.join(later, ["company_id", "metric_key", "report_year"]).select("company_id", "metric_key", "report_year", F.col("v").alias("value"), "value_next")
@@ -136,7 +136,7 @@ def yoy_common(spark, d):
 
 def suggest_questions(spark, d):
     """Questions that a report's flags raise, without repeats, five at most, in order of severity."""
-    e = settled(enriched(spark, d))
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*REPORTING, *CONFLICTING]))))
     flags = A.report_flags(e, None, A.numeric_conflicts(e))
     rank = F.expr("CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END")
     ask = F.when(F.col("flag") == "VAGUE", "Which environmental claims lack measurable metrics?").when(F.col("flag") == "CONTRADICTION", "Where does this report contradict itself on emissions or targets?").when(F.col("flag") == "ASPIRATIONAL_HEAVY", "Which targets have no baseline, deadline, or interim milestones?").otherwise(F.concat(F.lit("What evidence supports the '"), F.col("flag"), F.lit("' flag?")))
@@ -160,7 +160,7 @@ def evidence_quality(spark, d):
 
 def evidence_template(spark, d):
     """The 40 commonest figures (company, metric, year) and an example, the report of what evidence to gather."""
-    e = settled(enriched(spark, d)).where("metric_key <> 'uncategorized' AND time_bucket <> 'unknown_time'")
+    e = settled(enriched(spark, d).select("claim_id", "company_id", "metric_key", "time_bucket", "metric_value")).where("metric_key <> 'uncategorized' AND time_bucket <> 'unknown_time'")
     n = e.groupBy("company_id", "metric_key", F.col("time_bucket").alias("year")).agg(F.count("*").alias("n"), F.min_by("metric_value", F.when(F.col("metric_value").isNotNull(), F.col("claim_id"))).alias("example"))
     return n.orderBy(F.desc("n"), "company_id", "metric_key", "year").limit(40)
 
@@ -170,11 +170,11 @@ REGIONS = [("Asia Pacific", "singapore|japan|india|australia|tokyo|sydney"), ("E
 
 def regions(spark, d):
     """Companies, claims and mean score by region of the places that a company names; each counts once."""
-    e = settled(enriched(spark, d))
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*REPORTING, *CONFLICTING, "location_text"]))))
     region = F.when(F.col("location_text").isNull(), "Global")
     for name, words in REGIONS:
         region = region.when(F.lower("location_text").rlike(words), name)
-    scores = A.portfolio(e, A.integrity_score(e, A.report_flags(e))).select("company_id", "score")
+    scores = A.portfolio(e, A.integrity_score(e, A.report_flags(e, None, A.numeric_conflicts(e)))).select("company_id", "score")
     every = e.groupBy("company_id").agg(F.count("*").alias("n"))
     some = e.select("company_id", region.otherwise("Other").alias("region")).distinct().join(every, "company_id").join(scores, "company_id", "left")
     return some.groupBy("region").agg(F.count("*").alias("companies"), F.sum("n").alias("claims"), F.floor(F.avg("score") + 0.5).cast("long").alias("avg_score"))
@@ -343,7 +343,7 @@ def ingest_replace(spark, d):
 def contradiction_replace(spark, d):
     """Stored contradictions after the reports of every other company were scanned again without their targets: theirs are
     replaced, also by none, and the others stay."""
-    e = settled(enriched(spark, d).select("claim_id", "company_id", "report_id", "claim_type", "metric_key", "time_bucket", "location_scope", "metric_direction", "canonical_value", "canonical_unit", "metric_value", "source_sentence", "value_plausible"))
+    e = settled(enriched(spark, d).select(*CONFLICTING, "company_id", "claim_type"))
     found = A.numeric_conflicts(e).select("report_id", "claim_a", "claim_b", "severity", "conflict")
     kept = P.Store(spark, shared_folder(spark, "stores"), found.schema, "report_id", 8)
     kept.replace(found)
@@ -428,7 +428,7 @@ ORACLES = {
         SELECT report_id, subject_id, flag, verdict, CASE verdict WHEN 'dismissed' THEN 1 WHEN 'confirmed' THEN 2 ELSE 0 END AS queue FROM items LEFT JOIN reviewed USING (report_id, subject_id, flag)""",
     "suggest_questions": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}, f AS ({WITH_CONFLICTS}), r AS (SELECT report_id, flag, row_number() OVER (PARTITION BY report_id ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 ELSE 2 END, flag) AS r FROM f)
         SELECT report_id, string_agg(CASE flag WHEN 'VAGUE' THEN 'Which environmental claims lack measurable metrics?' WHEN 'CONTRADICTION' THEN 'Where does this report contradict itself on emissions or targets?' WHEN 'ASPIRATIONAL_HEAVY' THEN 'Which targets have no baseline, deadline, or interim milestones?' ELSE 'What evidence supports the ' || chr(39) || flag || chr(39) || ' flag?' END, ';' ORDER BY r) FILTER (r <= 5) AS questions FROM r GROUP BY report_id""",
-    "regions": f"""WITH {PLAIN}, last AS (SELECT company_id, arg_max(report_id, report_year) AS report_id FROM enriched GROUP BY company_id), sc AS (SELECT company_id, score FROM last LEFT JOIN graded USING (report_id)), n AS (SELECT company_id, count(*) AS n FROM enriched GROUP BY company_id),
+    "regions": f"""WITH {WHOLE}, last AS (SELECT company_id, arg_max(report_id, report_year) AS report_id FROM enriched GROUP BY company_id), sc AS (SELECT company_id, score FROM last LEFT JOIN graded USING (report_id)), n AS (SELECT company_id, count(*) AS n FROM enriched GROUP BY company_id),
         r AS (SELECT DISTINCT company_id, CASE WHEN location_text IS NULL THEN 'Global' WHEN lower(location_text) LIKE '%india%' THEN 'Asia Pacific' ELSE 'Other' END AS region FROM enriched)
         SELECT region, count(*) AS companies, CAST(sum(n) AS BIGINT) AS claims, CAST(floor(avg(score) + 0.5) AS BIGINT) AS avg_score FROM r JOIN n USING (company_id) JOIN sc USING (company_id) GROUP BY region""",
     "ablation": f"WITH {_STAGED} SELECT stage, n, round(node, 6) AS node, round(value, 6) AS value, round(type, 6) AS type, {_COMPOSITE} FROM rated",

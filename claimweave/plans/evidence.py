@@ -17,12 +17,16 @@ EVIDENCE_SQL = """SELECT company_id, replace(replace(metric_key, '.mass', '.tonn
     FROM {enriched} WHERE claim_id % 10 = 3 AND metric_value IS NOT NULL AND time_bucket <> 'unknown_time' AND metric_key <> 'uncategorized'"""
 
 
+#: What claims and records meet by and are judged by.
+CHECKING = "claim_id company_id report_id report_year metric_key metric_value metric_unit time_bucket claim_type canonical_value canonical_unit".split()
+
+
 def evidence(spark, d, claims=None):
-    return spark.sql(EVIDENCE_SQL, enriched=claims if claims is not None else settled(enriched(spark, d)))
+    return spark.sql(EVIDENCE_SQL, enriched=claims if claims is not None else settled(enriched(spark, d).select(CHECKING)))
 
 
-def _both(spark, d):
-    e = settled(enriched(spark, d))
+def _both(spark, d, *more):
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*CHECKING, *more]))))
     return e, evidence(spark, d, e)
 
 
@@ -36,17 +40,22 @@ def fact_check_summary(spark, d):
     return E.fact_check_summary(e, E.fact_check(e, records))
 
 
+#: What flags, conflicts and scores are made of.
+SCORING = "vagueness groundability metric_direction location_scope metric_family normalized_aspect source_sentence value_plausible".split()
+
+
 def _scores(e):
-    return A.integrity_score(e, A.report_flags(e))
+    """Scores of reports with their conflicts."""
+    return A.integrity_score(e, A.report_flags(e, None, A.numeric_conflicts(e)))
 
 
 def score_factcheck(spark, d):
-    e, records = _both(spark, d)
+    e, records = _both(spark, d, *SCORING)
     return E.score_factcheck(_scores(e), E.fact_check_summary(e, E.fact_check(e, records)))
 
 
 def score_satellite(spark, d):
-    e = settled(enriched(spark, d))
+    e = settled(enriched(spark, d).select(*CHECKING, *SCORING))
     images = e.where("claim_id % 9 = 0").select("report_id", F.expr("CASE claim_id % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'not_supported' ELSE 'inconclusive' END").alias("verdict"))
     return E.score_satellite(_scores(e), images)
 
