@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -35,10 +37,44 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``cut`` wrote, and those of them that stages of pipelines worked with.
+_WRITTEN: list[str] = []
+_OF_STAGES: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage of a pipeline that first deletes the tables that tidy stages before it worked with.
+
+    The result of a stage must be written before the next one is called. Tables that ``docs`` itself reads stay, and so do
+    all that were not written by stages. Shuffles that nothing refers to any more go as well.
+    """
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        used = docs.inputFiles()
+        for path in list(_OF_STAGES):
+            name = path.rsplit("/", 1)[-1]
+            if not any(name in f for f in used):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+                _OF_STAGES.remove(path)
+        gc.collect()
+        spark._jvm.System.gc()
+        start = len(_WRITTEN)
+        out = stage(spark, docs, sf_dir)
+        _OF_STAGES.extend(_WRITTEN[start:])
+        return out
+
+    return run
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has been counted to be small, else unchanged (shuffled)."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
