@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimweave.functions import expressions as X
 from claimweave.functions.scalars import check_key
 from claimweave.operators import analytics as A
 from claimweave.operators import claims as C
 from claimweave.operators import evaluation as V
 from claimweave.operators import knn as K
 from claimweave.operators import resample as R
+from claimweave.operators import review as W
 from claimweave.operators import store as T
 from claimweave.operators import tables as B
 from claimweave.operators import vectors as N
@@ -118,6 +120,31 @@ def review_queue(spark, d):
     return met.withColumn("queue", F.expr("CASE WHEN verdict IS NULL THEN 0 WHEN verdict = 'dismissed' THEN 1 ELSE 2 END"))
 
 
+def _review_inputs(spark, d):
+    e = settled(enriched(spark, d).select(list(dict.fromkeys([*REPORTING, *CONFLICTING, "page_number"]))))
+    return e, settled(A.numeric_conflicts(e))
+
+
+def review_items(spark, d):
+    """Every item of the review queue with its kind, title, reason, sentence and page."""
+    return W.review_items(*_review_inputs(spark, d))
+
+
+def review_scores(spark, d):
+    """Scores before and after reviews that dismiss claims' flags, one kind of conflict and reports' own flags."""
+    e, found = _review_inputs(spark, d)
+    items = W.review_items(e, found).select("report_id", "subject_id", "flag", "kind", "title")
+    low = found.where("conflict = 'Scope'").select("report_id", W.conflict_subject().alias("subject_id")).withColumn("flag", F.lit("CONTRADICTION"))
+    own = items.where("kind = 'report' AND flag = 'ASPIRATIONAL_HEAVY'").select("report_id", "subject_id", "flag")
+    gone = W.dismissed(_reviews(e)).unionByName(low).unionByName(own)
+    return W.reviewed_scores(e, found, gone)
+
+
+def flag_details(spark, d):
+    """Flags of reports with their share, text and first five claims."""
+    return W.flag_details(_review_inputs(spark, d)[0]).withColumn("evidence", F.array_join(F.transform("evidence", lambda x: F.concat(x["claim_id"].cast("string"), F.lit(" "), x["source_sentence"])), ";"))
+
+
 def page_matched(spark, d):
     """Claims on pages that both arms produced, by report and page."""
     c = claims(spark, d).select("claim_id", "report_id", "page_number")
@@ -381,7 +408,7 @@ def audit_counts(spark, d):
 
 QUERIES = {
     "match_claims": match_claims, "nli_neighbors": nli_neighbors, "match_claims_sql": match_claims_sql, "search_claims": search_claims, "pair_dedup": pair_dedup, "conflict_enrich": conflict_enrich, "score_join": score_join,
-    "satellite_relink": satellite_relink, "review_latest": review_latest, "review_queue": review_queue, "page_matched": page_matched, "yoy_common": yoy_common, "suggest_questions": suggest_questions,
+    "satellite_relink": satellite_relink, "review_latest": review_latest, "review_queue": review_queue, "review_items": review_items, "review_scores": review_scores, "flag_details": flag_details, "page_matched": page_matched, "yoy_common": yoy_common, "suggest_questions": suggest_questions,
     "evidence_quality": evidence_quality, "evidence_template": evidence_template, "regions": regions, "system_stats": system_stats, "ui_risk": ui_risk, "paired_z": paired_z, "ndvi_median": ndvi_median,
     "gold_match": gold_match, "eval_metrics": eval_metrics, "ablation": ablation, "bootstrap_ci": bootstrap_ci, "bootstrap_deltas": bootstrap_deltas, "grounding": grounding, "stratified_sample": lambda s, d: V.stratified_sample(_units(s, d), 400),
     "frame_describe": frame_describe, "gold_diff": gold_diff, "provenance_check": provenance_check, "interaction": interaction, "tradeoff": tradeoff,
@@ -418,6 +445,10 @@ _STAGED = f"""{CLAIMS.replace('claims AS (', 'raw AS (', 1)}, claims AS (SELECT
     s4 AS (SELECT * REPLACE (gated_aspect AS normalized_aspect, gated_type AS claim_type) FROM gated), s5 AS (SELECT * FROM s4 WHERE NOT is_furniture),
     {_stage_sql('S0', 's0')}, {_stage_sql('S1', 'raw')}, {_stage_sql('S2', 'claims')}, {_stage_sql('S4', 's4')}, {_stage_sql('S5', 's5')}, jd_S3 AS (SELECT * FROM jd_S2),
     rated AS (SELECT stage, count(*) AS n, {', '.join(f'{_RATE(r)} AS {r}' for r in V.RATES)} FROM ({' UNION ALL '.join(f"SELECT '{x}' AS stage, * FROM jd_{x}" for x in STAGES)}) GROUP BY stage)"""
+_POINTS = "round(CASE severity WHEN 'Critical' THEN 50 WHEN 'High' THEN 30 WHEN 'Medium' THEN 16 ELSE 6 END * CASE WHEN n > 0 THEN least(1.0, CAST(n AS DOUBLE) / total) ELSE 0.5 END, 1)"
+_GRADE = X.grade("score")
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_CASE = lambda texts, i: "CASE flag " + " ".join(f"WHEN '{k}' THEN {_QUOTED(v[i])}" for k, v in texts.items()) + " END"
 _AGAIN = re.sub(r"\b(cand|named|pr|judged|conflicts)\b", r"\1_again", CONFLICTS.removeprefix(ENRICH + ", ")).replace("FROM enriched WHERE", "FROM enriched WHERE claim_type <> 'target' AND company_id % 2 = 0 AND")
 ORACLES = {
     "contradiction_replace": f"""WITH {CONFLICTS}, {_AGAIN}, odd AS (SELECT DISTINCT report_id FROM enriched WHERE company_id % 2 <> 0)
@@ -426,6 +457,25 @@ ORACLES = {
     "review_latest": f"WITH {PLAIN}, {_REVIEWED} SELECT * FROM reviewed",
     "review_queue": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}, {_REVIEWED}, items AS (SELECT report_id, CAST(claim_id AS VARCHAR) AS subject_id, flag FROM flagged UNION ALL SELECT report_id, substr(sha1(claim_a || '|' || claim_b || '|' || conflict), 1, 12), 'CONTRADICTION' FROM conflicts UNION ALL SELECT report_id, '__report__', flag FROM structural)
         SELECT report_id, subject_id, flag, verdict, CASE verdict WHEN 'dismissed' THEN 1 WHEN 'confirmed' THEN 2 ELSE 0 END AS queue FROM items LEFT JOIN reviewed USING (report_id, subject_id, flag)""",
+    "review_items": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}
+        SELECT f.report_id, CAST(f.claim_id AS VARCHAR) AS subject_id, flag, 'claim' AS kind, {_CASE(W.CLAIM_FLAGS, 0)} AS title, {_CASE(W.CLAIM_FLAGS, 1)} AS reason, left(source_sentence, 240) AS source_sentence, page_number FROM flagged AS f JOIN enriched AS e ON e.claim_id = f.claim_id
+        UNION ALL SELECT report_id, left(sha1(claim_a || '|' || claim_b || '|' || conflict), 12), 'CONTRADICTION', 'contradiction', '{W.INCONSISTENT}', conflict || ' conflict of claims ' || claim_a || ' and ' || claim_b, conflict || ' conflict of claims ' || claim_a || ' and ' || claim_b, NULL FROM conflicts
+        UNION ALL SELECT report_id, '__report__', flag, 'report', CASE flag WHEN 'DISCLOSURE_GAP' THEN '{W.NO_SCOPE3}' ELSE '{W.ASPIRING}' END,
+            CASE flag WHEN 'DISCLOSURE_GAP' THEN '{W.NO_SCOPE3_REASON}' ELSE CAST(floor(n * 100 / s.total + 0.5) AS INT) || '% of claims are targets/narrative vs. ' || done || ' performance claims.' END, NULL, NULL FROM structural AS s JOIN totals USING (report_id)""",
+    "review_scores": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}, {_REVIEWED}, gone AS (SELECT report_id, subject_id, flag FROM reviewed WHERE verdict = 'dismissed'),
+        kept AS (SELECT f.report_id, f.flag, count(*) AS n FROM flagged AS f ANTI JOIN gone AS g ON g.subject_id = CAST(f.claim_id AS VARCHAR) AND g.flag = f.flag GROUP BY ALL),
+        raws AS ({WITH_CONFLICTS}),
+        after AS (SELECT k.report_id, CASE WHEN k.flag = 'VAGUE' AND floor(n * 100 / total + 0.5) >= 30 OR k.flag = 'UNSUBSTANTIATED_TARGET' AND n >= 3 OR k.flag = 'NON_GROUNDABLE' AND floor(n * 100 / total + 0.5) >= 40 THEN 'High' ELSE 'Medium' END AS severity, n, total FROM kept AS k JOIN totals USING (report_id)
+            UNION ALL SELECT report_id, severity, n, total FROM structural WHERE flag = 'DISCLOSURE_GAP'
+            UNION ALL SELECT c.report_id, CASE WHEN bool_or(severity IN ('Critical', 'High')) THEN 'Critical' ELSE 'Medium' END, CAST(sum(pairs) AS BIGINT), any_value(total) FROM conflicts AS c JOIN totals USING (report_id) WHERE conflict <> 'Scope' GROUP BY c.report_id),
+        points AS (SELECT side, report_id, sum({_POINTS}) AS points FROM (SELECT 'raw' AS side, report_id, severity, n, total FROM raws UNION ALL SELECT 'after', * FROM after) GROUP BY side, report_id),
+        applied AS (SELECT report_id, sum(k) AS k FROM (SELECT report_id, count(*) AS k FROM gone GROUP BY 1 UNION ALL SELECT report_id, count(*) FROM conflicts WHERE conflict = 'Scope' GROUP BY 1 UNION ALL SELECT report_id, count(*) FROM structural WHERE flag = 'ASPIRATIONAL_HEAVY' GROUP BY 1) GROUP BY report_id),
+        sc AS (SELECT t.report_id, t.total AS claims, round(greatest(0, least(100, 100 - coalesce(r.points, 0))), 1) AS score_raw, round(greatest(0, least(100, 100 - coalesce(a.points, 0))), 1) AS score, CAST(coalesce(k, 0) AS BIGINT) AS reviews_applied
+            FROM totals AS t LEFT JOIN points AS r ON r.report_id = t.report_id AND r.side = 'raw' LEFT JOIN points AS a ON a.report_id = t.report_id AND a.side = 'after' LEFT JOIN applied AS p ON p.report_id = t.report_id)
+        SELECT *, {_GRADE} AS grade, CASE WHEN score >= 70 THEN 'Low' WHEN score >= 50 THEN 'Moderate' ELSE 'High' END AS risk FROM sc""",
+    "flag_details": f"""WITH {PLAIN}, w AS (SELECT f.*, source_sentence, row_number() OVER (PARTITION BY f.report_id, flag ORDER BY f.claim_id) AS r FROM flagged AS f JOIN enriched AS e ON e.claim_id = f.claim_id),
+        e5 AS (SELECT report_id, flag, string_agg(claim_id || ' ' || left(source_sentence, 240), ';' ORDER BY r) FILTER (r <= 5) AS evidence FROM w GROUP BY ALL)
+        SELECT report_id, flag, severity, n, CAST(floor(n * 100 / total + 0.5) AS BIGINT) AS pct, {_CASE(W.SUMMED, 0)} AS title, replace(replace({_CASE(W.SUMMED, 1)}, '{{n}}', CAST(n AS VARCHAR)), '{{pct}}', CAST(CAST(floor(n * 100 / total + 0.5) AS BIGINT) AS VARCHAR)) AS description, evidence FROM claimed JOIN e5 USING (report_id, flag)""",
     "suggest_questions": f"""WITH {CONFLICTS}, {PLAIN.removeprefix(ENRICH + ', ')}, f AS ({WITH_CONFLICTS}), r AS (SELECT report_id, flag, row_number() OVER (PARTITION BY report_id ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 ELSE 2 END, flag) AS r FROM f)
         SELECT report_id, string_agg(CASE flag WHEN 'VAGUE' THEN 'Which environmental claims lack measurable metrics?' WHEN 'CONTRADICTION' THEN 'Where does this report contradict itself on emissions or targets?' WHEN 'ASPIRATIONAL_HEAVY' THEN 'Which targets have no baseline, deadline, or interim milestones?' ELSE 'What evidence supports the ' || chr(39) || flag || chr(39) || ' flag?' END, ';' ORDER BY r) FILTER (r <= 5) AS questions FROM r GROUP BY report_id""",
     "regions": f"""WITH {WHOLE}, last AS (SELECT company_id, arg_max(report_id, report_year) AS report_id FROM enriched GROUP BY company_id), sc AS (SELECT company_id, score FROM last LEFT JOIN graded USING (report_id)), n AS (SELECT company_id, count(*) AS n FROM enriched GROUP BY company_id),
