@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.functions import expressions as X
+from claimweave.functions import scalars as S
 from claimweave.functions.expressions import first, text
+from claimweave.operators import claims as C
 
 # What a lower-cased sentence speaks of, what was done, and where; the first that it has decides.
 ASPECTS = [
@@ -71,6 +74,44 @@ def reply_claims(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return kept.select(*[x for x in replies.columns if x != reply], "c.aspect", F.expr("coalesce(c.action, 'reported')").alias("action"), "c.metric.value", "c.metric.unit", F.expr(place).alias("specificity"), F.expr("greatest(0e0, least(1e0, coalesce(c.confidence, 0.5e0)))").alias("confidence"))
 
 
+#: The same with every field as text, so that an odd one does not spoil the others; a location is a struct or a name.
+RAW_REPLY = "ARRAY<STRUCT<aspect: STRING, action: STRING, metric: STRUCT<value: STRING, unit: STRING, direction: STRING>, location: STRING, time: STRUCT<start_date: STRING, end_date: STRING, baseline_year: STRING>, confidence: STRING>>"
+
+
+def enriched_replies(replies: DataFrame, reply: str = "reply", sentence: str = "sentence") -> DataFrame:
+    """The claims in replies with all that follows from them: units by name, text or aspect, type, taxonomy node, dates, keys,
+    scores. ``replies`` has the sentence that was asked about; its other columns stay.
+
+    A claim whose value or confidence is no number is left out, as is a reply that cannot be read. A missing aspect is ``unknown``,
+    a missing action ``reported``, a place without a known specificity is ``global``, one given by name alone a region. A metric
+    without a value is none, so are dates that are none or ``null``; the time bucket is the year of the end, else of the start.
+    """
+    spark = replies.sparkSession
+    found = replies.withColumn("__json", F.expr(lenient_json(reply))).where("__json IS NOT NULL")
+    listed = f"CASE WHEN startswith(__json, '[') THEN from_json(__json, '{RAW_REPLY}') WHEN get_json_object(__json, '$.claims') IS NOT NULL THEN from_json(__json, 'claims {RAW_REPLY}').claims ELSE from_json(concat('[', __json, ']'), '{RAW_REPLY}') END"
+    each = found.withColumn("c", F.explode(F.expr(listed))).where("c IS NOT NULL")
+    blank = lambda x: f"CASE WHEN lower({x}) <> 'null' THEN {x} END"
+    place = "CASE WHEN startswith(c.location, '{') THEN from_json(c.location, 'raw_text STRING, specificity STRING') END"
+    read = each.withColumn("__place", F.expr(place)).withColumn("__number", F.expr("try_cast(trim(c.metric.value) AS DOUBLE)"))
+    read = read.where("(c.metric.value IS NULL OR __number IS NOT NULL) AND (c.confidence IS NULL OR try_cast(c.confidence AS DOUBLE) IS NOT NULL)")
+    known = "('facility', 'city', 'region', 'country')"
+    read = read.select(
+        *[x for x in replies.columns if x != reply], F.expr("coalesce(nullif(trim(c.aspect), ''), 'unknown')").alias("aspect"), F.expr("coalesce(nullif(c.action, ''), 'reported')").alias("action"), F.col("__number").alias("metric_value"),
+        F.expr("CASE WHEN __number IS NOT NULL THEN coalesce(c.metric.unit, 'unspecified') END").alias("__unit"), F.expr("CASE WHEN __number IS NOT NULL THEN c.metric.direction END").alias("__direction"),
+        F.expr("CASE WHEN __place IS NOT NULL THEN nullif(__place.raw_text, '') ELSE nullif(trim(c.location), '') END").alias("location_text"),
+        F.expr(f"CASE WHEN c.location IS NULL OR (__place IS NOT NULL AND coalesce(__place.raw_text, '') = '') THEN 'global' WHEN __place IS NULL THEN 'region' WHEN lower(__place.specificity) IN {known} THEN lower(__place.specificity) ELSE 'global' END").alias("location_scope"),
+        *(F.expr(S.clean_date(blank(f"c.time.{d}"))).alias(d) for d in ("start_date", "end_date")), F.expr(f"try_cast({blank('c.time.baseline_year')} AS INT)").alias("baseline_year"),
+        F.expr("greatest(0e0, least(1e0, coalesce(try_cast(c.confidence AS DOUBLE), 0.5e0)))").alias("confidence"),
+    )
+    read = read.withColumns({
+        "metric_unit": F.expr(f"CASE WHEN metric_value IS NOT NULL THEN {S.inferred_unit('__unit', 'aspect', 'metric_value')} END"),
+        "metric_direction": F.expr(f"CASE WHEN metric_value IS NOT NULL THEN coalesce(__direction, {S.direction_named(sentence)}) END"),
+        "claim_type": F.expr(X.classify_type("action", sentence)), "time_bucket": F.expr("coalesce(left(coalesce(end_date, start_date), 4), 'unknown_time')"),
+    }).drop("__unit", "__direction")
+    nodes = C.normalize_aspects(read.select("aspect"), spark).withColumnRenamed("node", "normalized_aspect")
+    return C.enrich(read.join(nodes, "aspect"))
+
+
 def quoted(found: DataFrame) -> DataFrame:
     """Every seventh sentence as a model might quote it: a piece of it, or with a word left out."""
     some = found.where("pmod(xxhash64(doc_id, block_id, idx), 7) = 0")

@@ -75,7 +75,15 @@ def jsonl_roundtrip(spark, d):
     return back.where("torn IS NULL AND claim_id IS NOT NULL").drop("torn")
 
 
+def reply_enrich(spark, d):
+    """Model replies as whole claims: units, type, node, dates, keys, scores."""
+    c = _with(spark, d, "reply", REPLY).select("claim_id", "reply", F.col("source_sentence").alias("sentence"))
+    found = X.enriched_replies(c)
+    return found.select("claim_id", "aspect", "normalized_aspect", "action", "claim_type", "metric_value", "metric_unit", "location_scope", "time_bucket", "metric_key", "claim_signature", "groundability", "vagueness", "confidence")
+
+
 QUERIES = {
+    "reply_enrich": reply_enrich,
     "parse_number": _one("t", CELL, {"value": S.parse_number("t"), "plain": S.cell_number("t")}),
     "clean_fields": _one("t", f"struct({DATE} AS d, CASE WHEN claim_id % 4 = 0 THEN ' N/A ' WHEN claim_id % 4 = 1 THEN ' Pune ' ELSE location_text END AS p)", {"date": S.clean_date("t.d"), "place": S.clean_text("t.p")}),
     "slug": _one("t", "concat('--', company_name, ' & Co. ', CAST(report_year AS STRING), '!')", {"slug": S.slug("t"), "empty": S.slug("'!!'")}),
