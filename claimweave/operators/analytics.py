@@ -10,7 +10,8 @@ from claimweave.operators.ordering import running_sums
 from claimweave.sources.tables import settled
 
 MEANINGFUL = "metric_key <> 'uncategorized' AND metric_key NOT LIKE '%.unspecified'"
-STATEMENT = r"trim(regexp_replace(regexp_replace(lower(source_sentence), '[0-9]|[^\\p{L}\\p{N}\\s]', ''), '\\s+', ' '))"
+#: What a sentence says, figures and signs aside; one that has nothing else is ``#``, only a blank one counts as missing.
+STATEMENT = r"CASE WHEN trim(source_sentence) <> '' THEN coalesce(nullif(trim(regexp_replace(regexp_replace(lower(source_sentence), '[0-9]|[^\\p{L}\\p{N}\\s]', ''), '\\s+', ' ')), ''), '#') END"
 #: Points by severity, and the prevalence of a flag about the whole report.
 WEIGHTS = {"Critical": 50.0, "High": 30.0, "Medium": 16.0, "Low": 6.0}
 WHOLE_REPORT = 0.5

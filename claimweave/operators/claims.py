@@ -39,6 +39,7 @@ GATED: list[tuple[str, str]] = [
     ("unit_flag", f"CASE WHEN metric_value IS NOT NULL AND NOT {X.plausible('gated_aspect', 'dimension')} THEN 'implausible_unit' END"),
     ("gated_key", X.metric_key("gated_aspect", "dimension")),
     ("gated_family", X.metric_family("gated_aspect")),
+    ("gated_signature", "concat_ws('|', gated_key, time_bucket, location_scope)"),
 ]
 
 

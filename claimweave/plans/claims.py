@@ -31,7 +31,7 @@ def _simple(cte: str, source: str, columns: list[str], where: str = "TRUE") -> s
 
 
 def gate_aspect(spark, d):
-    return _gated(spark, d).select("claim_id", "gated_aspect", "gated_key", "gated_family", "aspect_flag", "route_flag")
+    return _gated(spark, d).select("claim_id", "gated_aspect", "gated_key", "gated_family", "gated_signature", "aspect_flag", "route_flag")
 
 
 def gate_flags(spark, d):
@@ -115,7 +115,7 @@ ORACLES = {
     "polarity": _simple(ENRICH, "enriched", ["claim_id", _p(C.X.polarity("metric_key")) + " AS polarity"]),
     "verification_method": _simple(ENRICH, "enriched", ["claim_id", _p(C.X.verification_method("observability", "metric_value")) + " AS method"]),
     "furniture": f"WITH {CLAIMS}, s AS (SELECT *, lower(trim(source_sentence)) AS s FROM claims) SELECT claim_id, {_p(C.GATED[1][1])} AS is_furniture FROM s",
-    "gate_aspect": _simple(GATE, "gated", ["claim_id", "gated_aspect", "gated_key", "gated_family", "aspect_flag", "route_flag"]),
+    "gate_aspect": _simple(GATE, "gated", ["claim_id", "gated_aspect", "gated_key", "gated_family", "gated_signature", "aspect_flag", "route_flag"]),
     "gate_type": _simple(GATE, "gated", ["claim_id", "gated_type", "type_flag"]),
     "value_in_source": _simple(CLAIMS, "claims", ["claim_id", r"list_contains(list_transform(regexp_extract_all(source_sentence, '\d[\d,]*(?:\.\d+)?'), lambda t: CAST(replace(t, ',', '') AS DOUBLE)), metric_value) AS found"], "metric_value IS NOT NULL"),
     "gate_flags": _simple(GATE, "gated", ["claim_id", "array_to_string(quality_flags, ',') AS flags"]),

@@ -179,3 +179,11 @@ def test_sections_and_layout(spark):
     assert sorted((r.block_id, r.level, r.title, r.parent) for r in heads.collect()) == [("h1", 1, "Environmental Performance", None), ("h2", 2, "Details", 1)]
     placed = {r.block_id: r.section for r in D.in_sections(c, heads).collect()}
     assert placed["p1"] == 1 and placed["p2"] == 2 and placed["top"] == 1
+
+
+def test_a_sentence_of_figures_is_not_a_missing_one(spark):
+    """Sentences of digits only say the same; a blank one may say anything; words say what they say."""
+    rows = [(1, "12 / 13", 10.0), (2, "99", 20.0), (3, "Waste 5", 40.0), (4, "  ", 80.0), (5, None, 160.0)]
+    df = spark.createDataFrame([(i, "r", "waste.total.mass", "2023", "global", None, v, v, "t", True, s) for i, s, v in rows], "claim_id long, report_id string, metric_key string, time_bucket string, location_scope string, metric_direction string, metric_value double, canonical_value double, canonical_unit string, value_plausible boolean, source_sentence string")
+    got = {(r.claim_a, r.claim_b) for r in A.numeric_conflicts(df).collect()}
+    assert got == {(1, 2), (1, 4), (2, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)}
