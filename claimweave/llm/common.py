@@ -46,6 +46,28 @@ def cut(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 _OF_STAGES: list[str] = []
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """Let go of shuffles and broadcasts that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing will read again, and the shuffles that went into them."""
+    for df in tables:
+        spark = df.sparkSession
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        for path in [p for p in _WRITTEN if p.rsplit("/", 1)[-1] in names]:
+            _delete(spark, path)
+            _WRITTEN.remove(path)
+    _collect_garbage(tables[0].sparkSession)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -62,11 +84,9 @@ def tidy(stage: Stage) -> Stage:
         for path in list(_OF_STAGES):
             name = path.rsplit("/", 1)[-1]
             if not any(name in f for f in used):
-                place = spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+                _delete(spark, path)
                 _OF_STAGES.remove(path)
-        gc.collect()
-        spark._jvm.System.gc()
+        _collect_garbage(spark)
         start = len(_WRITTEN)
         out = stage(spark, docs, sf_dir)
         _OF_STAGES.extend(_WRITTEN[start:])
