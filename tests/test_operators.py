@@ -187,3 +187,10 @@ def test_a_sentence_of_figures_is_not_a_missing_one(spark):
     df = spark.createDataFrame([(i, "r", "waste.total.mass", "2023", "global", None, v, v, "t", True, s) for i, s, v in rows], "claim_id long, report_id string, metric_key string, time_bucket string, location_scope string, metric_direction string, metric_value double, canonical_value double, canonical_unit string, value_plausible boolean, source_sentence string")
     got = {(r.claim_a, r.claim_b) for r in A.numeric_conflicts(df).collect()}
     assert got == {(1, 2), (1, 4), (2, 4), (3, 4), (1, 5), (2, 5), (3, 5), (4, 5)}
+
+
+def test_links_to_reports(spark):
+    html = '<a href="esg-report-2023.pdf">Our <b>report</b></a><a href="/code-of-conduct.pdf">Sustainability report policy</a><A class=x HREF=\'https://b.com/brsr.PDF\'>BRSR 2022</A><a href="annual.pdf">Annual</a><a href="net-zero.pdf">net zero plan</a><a href="esg-report.html">ESG report</a>'
+    pages = spark.createDataFrame([(1, "https://a.com/ir/x.html", html), (2, "https://a.com", None), (3, None, "<a href='climate report.pdf'>x</a>")], "page_id long, url string, html string")
+    got = {r.absolute: r.year for r in T.report_links(T.links(pages.where("url IS NOT NULL")), 2026).collect()}
+    assert got == {"https://a.com/ir/esg-report-2023.pdf": "2023", "https://b.com/brsr.PDF": "2022", "https://a.com/ir/net-zero.pdf": "2026"}
