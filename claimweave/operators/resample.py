@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +11,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose weights in all resamples are made at a time.
-ROWS = 256
+#: Claims whose weights in all resamples are made at a time, few enough for the caches of a core, and profiles (what
+#: the rows of a claim say) whose sums a task holds at a time.
+CLAIMS, PROFILES = 16, 256
+
+
+def _steps() -> np.ndarray:
+    """The least 53-bit draws at which a Poisson variable of mean one is above 0, above 1 and so on."""
+    out, term, cumulative = [], math.exp(-1.0), 0.0
+    for n in range(18):
+        cumulative += term
+        out.append(math.ceil(cumulative * (1 << 53)))
+        term /= n + 1
+    return np.array(out, np.uint64)
+
+
+_STEPS = _steps()
+#: The Poisson variable by the leading 16 bits of a draw; 255 for the few in which a step lies.
+_LEADING = np.searchsorted(_STEPS, np.arange(1 << 16, dtype=np.uint64) << np.uint64(37), side="right").astype(np.uint8)
+_LEADING[(_STEPS >> np.uint64(37)).astype(np.int64)] = 255
 
 
 def weights(claim_ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
@@ -22,45 +41,58 @@ def weights(claim_ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
         z = claim_ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         z = z ^ (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed) * np.uint64(0x8CB92BA72F3D8DD7))[None, :]
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-        z = z ^ (z >> np.uint64(31))
-    u = (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    out, term, cumulative = np.zeros(z.shape, np.int64), np.exp(-1.0), 0.0
-    for n in range(18):
-        cumulative += term
-        out += u >= cumulative
-        term /= n + 1
+            z ^= z >> np.uint64(shift)
+            z *= np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    out = _LEADING[z >> np.uint64(48)]
+    open_ = np.nonzero(out == 255)
+    out[open_] = np.searchsorted(_STEPS, z[open_] >> np.uint64(11), side="right")
     return out
 
 
+def profiles(rows: DataFrame, rates: list[str], by: str) -> DataFrame:
+    """(claim_id, profile): what all rows of a claim say, as JSON of its groups and marks; one row a claim."""
+    marks = F.concat(*(F.expr(f"CASE WHEN {r} THEN '1' WHEN NOT {r} THEN '0' ELSE '-' END") for r in rates))
+    known = rows.where(f"claim_id IS NOT NULL AND {by} IS NOT NULL").select("claim_id", F.struct(F.col(by).cast("string").alias("g"), marks.alias("marks")).alias("row"))
+    return known.groupBy("claim_id").agg(F.to_json(F.array_sort(F.collect_list("row"))).alias("profile"))
+
+
 def resampled(rows: DataFrame, rates: list[str], by: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """(by, draw, a column a rate): every rate in every resample of ``rows`` (claim_id, ``by``, rates that are true,
     false or null where they do not apply).
 
-    A task adds up, for each group, weighted numerators and denominators of all resamples in one array; the arrays of
-    tasks are added. So what is held and sent depends on groups, rates and resamples, not on rows.
+    The rows of a claim are its profile, so its weights are made once for all groups. A task adds up the weights of
+    claims of one profile, then weighted numerators and denominators of each group; the arrays of tasks are added.
+    So what is held and sent depends on groups, rates and resamples, not on rows.
     """
     columns = [f"{kind}_{r}" for r in rates for kind in ("num", "den")]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+        held: dict[str, np.ndarray] = {}
+
+        def settle() -> None:
+            for profile, total in held.items():
+                for row in json.loads(profile):
+                    marks = np.array([x for m in row["marks"] for x in (m == "1", m != "-")], np.int64)
+                    mine = sums.setdefault(row["g"], np.zeros((len(columns), draws), np.int64))
+                    mine[marks > 0] += total
+            held.clear()
+
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
-                w = weights(part["claim_id"].to_numpy(), draws, seed)
-                marks = part[rates].to_numpy(dtype=object)
-                known = np.array([[x is not None and x == x for x in r] for r in marks], np.int64).reshape(len(part), len(rates))
-                right = np.array([[x is True or x is np.True_ or x == 1 for x in r] for r in marks], np.int64).reshape(len(part), len(rates)) * known
-                both = np.stack([right, known], axis=2).reshape(len(part), -1)
-                groups = part[by].to_numpy()
-                for g in set(groups):
-                    mine = groups == g
-                    sums[g] = sums.get(g, 0) + w[mine].T @ both[mine]
+            for profile, ids in batch.groupby("profile", sort=False)["claim_id"]:
+                if profile not in held and len(held) >= PROFILES:
+                    settle()
+                total = held.setdefault(profile, np.zeros(draws, np.int64))
+                found = ids.to_numpy()
+                for at in range(0, len(found), CLAIMS):
+                    total += weights(found[at : at + CLAIMS], draws, seed).sum(axis=0, dtype=np.int64)
+        settle()
         for g, total in sums.items():
-            yield pd.DataFrame(total, columns=columns).assign(**{by: g, "draw": np.arange(1, draws + 1)})[[by, "draw", *columns]]
+            yield pd.DataFrame(total.T, columns=columns).assign(**{by: g, "draw": np.arange(1, draws + 1)})[[by, "draw", *columns]]
 
     schema = f"{by} string, draw int, " + ", ".join(f"{c} long" for c in columns)
-    parts = rows.select("claim_id", F.col(by).cast("string").alias(by), *rates).where(f"claim_id IS NOT NULL AND {by} IS NOT NULL").mapInPandas(add, schema)
+    parts = profiles(rows, rates, by).mapInPandas(add, schema)
     total = parts.groupBy(by, "draw").agg(*(F.sum(c).alias(c) for c in columns))
     return total.select(by, "draw", *(F.expr(f"num_{r} / nullif(den_{r}, 0)").alias(r) for r in rates))
 
