@@ -82,10 +82,11 @@ def report_links(found: DataFrame, this_year: int) -> DataFrame:
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
-    """Company, year and report id from the name of a file (stem): a fiscal year counts as its second one."""
+    """Company, year and report id from the name of a file (stem): a fiscal year counts as its second one. Only the year
+    that was read leaves the name, other numbers belong to the company."""
     two, one = r"regexp_extract(stem, '(\\d{4})-(\\d{2})', 1)", r"regexp_extract(stem, '20\\d{2}', 0)"
     year = f"CASE WHEN {two} <> '' THEN CAST({two} AS INT) + 1 WHEN {one} <> '' THEN CAST({one} AS INT) ELSE 2024 END"
-    name = r"regexp_replace(stem, '[-_]?\\d{4}[-_]?\\d{0,2}', ' ')"
+    name = rf"CASE WHEN {two} <> '' THEN regexp_replace(stem, '(?s)^(.*?)[-_]?\\d{{4}}-\\d{{2}}', '$1 ') WHEN {one} <> '' THEN regexp_replace(stem, '(?s)^(.*?)[-_]?20\\d{{2}}[-_]?\\d{{0,2}}', '$1 ') ELSE regexp_replace(stem, '[-_]?\\d{{4}}[-_]?\\d{{0,2}}', ' ') END"
     for word in ("esg", "sustainability", "environmental", "report", "brsr", "business", "responsibility", "and", "of"):
         name = rf"regexp_replace({name}, '(?i)[-_\\s]{word}', ' ')"
     words = rf"filter(split(trim(regexp_replace({name}, '[-_]+', ' ')), '\\s+'), w -> length(w) > 1)"
