@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import analytics as A
@@ -31,14 +32,16 @@ def test_keys_of_claims_are_taken_apart_once(spark):
     assert plan(found).count("regexp_extract") == 0 and plan(found).count("metric_unit") == plan(records).count("metric_unit")
 
 
-def test_equal_values_of_a_signature_stand_together(spark, monkeypatch):
+@pytest.mark.parametrize("few, sizes", [(1, [3, 2]), (32, [0, 0])])
+def test_equal_values_of_a_signature_stand_together(spark, monkeypatch, few, sizes):
     """One value and direction in 300 reports is one row of the running sums over all reports, and none within them."""
     rows = [("s", f"r{i}", 5.0, "increase") for i in range(300)] + [("s", "r0", 50.0, "decrease"), ("s", "r1", None, "decrease")]
     c = spark.createDataFrame(rows, "claim_signature string, report_id string, metric_value double, metric_direction string")
     summed, plainly = [], A._within
+    monkeypatch.setattr(A, "FEW", few)
     monkeypatch.setattr(A, "_within", lambda df, group: summed.append(df.count()) or plainly(df, group))
     got = {(r.report_id, r.metric_value): (r.turned, r.apart, r.links) for r in A.signature_conflicts(c).collect()}
-    assert summed == [3, 2]
+    assert summed == sizes
     assert got[("r5", 5.0)] == (2, 1, 2) and got[("r0", 50.0)] == (299, 299, 299) and got[("r1", None)] == (299, 0, 299) and got[("r0", 5.0)] == (1, 0, 1)
 
 
