@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import expressions as X
@@ -119,23 +121,55 @@ def quoted(found: DataFrame) -> DataFrame:
     return some.select("doc_id", "block_id", F.col("idx").alias("quote"), cut.alias("source"))
 
 
+#: A quote is compared with so many sentences of its block at a time, and is like none below this ratio.
+SOME, LIKE = 64, 0.5
+
+
+def likest(source: str, sentences: Iterable[str], numbers: Iterable[int]) -> tuple[float | None, int | None]:
+    """(ratio, number) of the sentence that is likest to ``source``, both in lower case, the least number among equals; nothing
+    below LIKE.
+
+    The letters that two texts have in common bound the ratio from above. Sentences are tried by that bound, so once
+    one is as like as all that are left could be, those need no comparison.
+    """
+    a = source.lower()
+    letters, tried = Counter(a), []
+    for sentence, number in zip(sentences, numbers, strict=True):
+        b = sentence.lower()
+        both = len(a) + len(b)
+        if not both or 2.0 * min(len(a), len(b)) / both >= LIKE:
+            most = 2.0 * sum(min(n, b.count(c)) for c, n in letters.items()) / both if both else 1.0
+            tried.append((-most, number, b))
+    best = (-LIKE, math.inf)
+    for most, number, b in sorted(tried):
+        if most > best[0]:
+            break
+        if (most, number) < best:
+            best = min(best, (-SequenceMatcher(None, a, b).ratio(), number))
+    return (None, None) if best[1] == math.inf else (-best[0], best[1])
+
+
 def match_sentences(quotes: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, block_id, quote, idx): the sentence of the block that a quote comes from: the first of which one
     holds the other, else the likest one from a ratio of one half on, else null.
 
-    Containment is settled first; only quotes without it are compared, with the sentences of their own block.
+    A quote meets the sentences of its own block, SOME in a row. Containment is settled first; only quotes without it
+    are compared (see ``likest``).
     """
     key = ["doc_id", "block_id"]
-    pairs = quotes.join(found.select(*key, "idx", "sentence"), key)
-    inside = F.expr("contains(lower(sentence), lower(source)) OR contains(lower(source), lower(sentence))")
-    held = pairs.where(inside).groupBy(*key, "quote").agg(F.min("idx").alias("held"))
-    rest = pairs.join(held, [*key, "quote"], "left_anti")
-
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    near = rest.withColumn("ratio", ratio("source", "sentence")).where("ratio >= 0.5").groupBy(*key, "quote").agg(F.max_by("idx", F.struct("ratio", -F.col("idx"))).alias("near"))
-    out = quotes.join(held, [*key, "quote"], "left").join(near, [*key, "quote"], "left")
+    some = found.groupBy(*key, F.expr(f"idx div {SOME}").alias("part")).agg(F.collect_list(F.struct("idx", "sentence")).alias("some")).drop("part")
+    inside = "filter(some, x -> contains(lower(x.sentence), low) OR contains(low, lower(x.sentence)))"
+    met = quotes.withColumn("low", F.lower("source")).join(some, key).withColumn("held", F.expr(f"array_min(transform({inside}, x -> x.idx))"))
+    met = met.withColumn("held", F.min("held").over(Window.partitionBy(*key, "quote")))
+
+    @F.pandas_udf("ratio double, idx int")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            best = [(None, None) if a is None else likest(a, b, i) for a, b, i in zip(*rows, strict=True)]
+            yield pd.DataFrame({"ratio": pd.Series([r for r, _ in best], dtype="float64"), "idx": pd.Series([i for _, i in best], dtype="Int32")})
+
+    left = lambda x: F.expr(f"CASE WHEN held IS NULL THEN {x} END")
+    best = met.select(*key, "quote", "held", compared(left("source"), left("some.sentence"), left("some.idx")).alias("b"))
+    by_ratio = F.max_by("b.idx", F.when(F.col("b.idx").isNotNull(), F.struct("b.ratio", -F.col("b.idx"))))
+    out = quotes.join(best.groupBy(*key, "quote").agg(F.min("held").alias("held"), by_ratio.alias("near")), [*key, "quote"], "left")
     return out.select(*key, "quote", F.coalesce("held", "near").alias("idx"))

@@ -146,6 +146,11 @@ def rule_extract(spark, d):
     return X.rule_claims(_story(spark, d).select("doc_id", "block_id", "idx", "sentence")).drop("sentence")
 
 
+def sentence_match(spark, d):
+    found = settled(_sentences(spark, d).select("doc_id", "block_id", "idx", "sentence"))
+    return X.match_sentences(X.quoted(found), found)
+
+
 QUERIES = {
     "triage_profile": triage_profile,
     "layout_classify": lambda s, d: _key(D.classify(blocks(s, d)), "kind"),
@@ -168,7 +173,7 @@ QUERIES = {
     "table_claims_legacy": table_claims_legacy,
     "table_claims_yoy": table_claims_yoy,
     "fy_repair": fy_repair,
-    "sentence_match": lambda s, d: X.match_sentences(X.quoted(_sentences(s, d)), _sentences(s, d)),
+    "sentence_match": sentence_match,
 }
 
 _W = r"[\p{L}\p{Nd}_]"
